@@ -71,5 +71,4 @@ def roll_up(states: DataFrame, by: list[Column], sums: list[str] = (), least: li
 
 def heavy_keys(states: DataFrame, all_rows: DataFrame, share: float, key: str = "key") -> DataFrame:
     """The keys whose `left_rows` are at least `share` of the rows of `all_rows` (null keys count in the total)."""
-    n = all_rows.agg(F.count(F.lit(1)).alias("__n"))  # one row
-    return states.join(F.broadcast(n), F.col("left_rows") >= F.col("__n") * F.lit(share)).select(key, "left_rows")
+    return states.filter(F.col("left_rows") >= all_rows.count() * share).select(key, "left_rows")
