@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import count_better, running_total
+from ..session import cut
 from .vectors import sound_rows
 
 #: Query vectors held by a task at once; more queries are worked off in blocks of this many.
@@ -105,10 +106,11 @@ def rank_films(films: DataFrame, queries: DataFrame, dim: int = 1536) -> DataFra
     near = query_distances(ok, "id", "plot_emb", dim, queries, "query_id", "query_emb")
     zeros = F.exists("plot_emb", lambda v: v != 0)
     sound = ok.filter((F.size("plot_emb") == dim) & ~F.exists("plot_emb", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & zeros).select("id", "rating", "num_votes")
+    sound = cut(sound)  # narrow rows: the vectors are read once for this and once for the distances
+    n = sound.count()
     own = better_counts(sound, [], ["id"], {"rating": (F.col("rating"), True), "votes": (F.col("num_votes"), True)})
-    total = sound.agg(F.count(F.lit(1)).alias("n"))  # one row
     each = better_counts(near, ["query_id"], ["id"], {"distance": (F.col("distance"), False)})
-    x = each.join(own, "id").join(F.broadcast(total))
+    x = each.join(own, "id").withColumn("n", F.lit(n).cast("bigint"))
     return leximin(x, ["query_id"], ["id"], ["better_rating", "better_votes", "better_distance"], F.col("n"))
 
 
