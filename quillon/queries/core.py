@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import eager
+from ..operators import eager, packed
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each genre and each name of the packed fields; a person has at least two words."""
+    return packed.split_packed(_t(spark, d, "imdb_t1_hnsw"), "id", {"genre": 1, "actor_director": 2})
+
+
+def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """How often each value occurs in its field."""
+    return p4_found(spark, d).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _side(spark: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The pairs, the entities of one side (titles and hubs), and the state of every key of that side."""
     i = {"id1": "t1", "id2": "t2"}[side]
@@ -54,7 +64,7 @@ p as (select 'id1' side, 't1' s, id1 key_id, dis, batch_no from ti_imdb_t1_imdb_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_keys)}
+    return {f.__name__: f for f in (p4_found, p4_frequencies, p5_found, p5_keys)}
 
 
 def oracle_sql() -> dict[str, str]:
