@@ -8,7 +8,10 @@ pairs of records, which follows exactly from each cluster's size, vector sum and
 so no pair of records is ever formed. A link over the threshold can go: the mean of two that are
 over it stays over it, and one under it keeps the merged link alive.
 
-Equal partners are ordered by a hash of the pair, so that a crowd of equal distances pairs off all
+The links fall into connected components, and no cluster reaches beyond its component. Components
+of up to `LOCAL_NODES` vectors are dealt to tasks in bundles of about that size, each task running
+the rounds of its bundle in memory; larger ones run the same rounds over DataFrames, so no task
+holds an unbounded component. Equal partners are ordered by a hash of the pair, so that a crowd of equal distances pairs off all
 over at once and does not queue at its least member. States and links are cut each round in the
 shared checkpoint folder; clusters without links leave the rounds.
 """
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import index as ix
-from .vectors import pack, sound_rows, unpack  # noqa: F401
+from .vectors import pack, unpack
+
+#: Vectors of a component that one task may hold, and of a bundle of components.
+LOCAL_NODES = 2000
 
 _STATE = "c bigint, n bigint, sq double, total binary"
 
@@ -113,6 +119,104 @@ def merge_rounds(states: DataFrame, links: DataFrame, dim: int, threshold: float
     return members, final
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(c, comp): the least node that each node of `links` (a, b) is connected with.
+
+    Nodes take the least label around them and then that label's label, until nothing changes: few
+    rounds even for long chains, and two or three where nodes share a link to their least member.
+    """
+    both = cut(links.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("o"))))
+    labels = cut(both.groupBy("c").agg(F.least(F.col("c"), F.min("o")).alias("comp")))
+    while True:
+        seen = both.join(labels.withColumnRenamed("c", "o"), "o").groupBy("c").agg(F.min("comp").alias("around"))
+        near = labels.join(seen, "c").select("c", "comp", F.least("comp", "around").alias("low"))
+        jump = labels.select(F.col("c").alias("low"), F.col("comp").alias("far"))
+        new = cut(near.join(jump, "low", "left").select("c", F.least("low", "far").alias("comp"), F.col("comp").alias("old")))
+        labels = new.select("c", "comp")
+        if new.filter("comp < old").isEmpty():
+            return labels
+
+
+def _order(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
+    """A scrambled number for each pair of ids."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(r)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def agglomerate(ids: np.ndarray, n: np.ndarray, sq: np.ndarray, total: np.ndarray, a: np.ndarray, b: np.ndarray, d2: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rounds in memory. Nodes 0..N-1 with ids ascending, links a < b; gives (cluster of each node, n, sq, total)."""
+    n, sq, total, into = n.astype(np.int64).copy(), sq.copy(), total.copy(), np.arange(len(ids))
+    most, r = threshold * threshold + 1e-6, 0
+    while len(a):
+        o = np.lexsort((_order(ids[a], ids[b], r), d2))
+        a, b, d2, r = a[o], b[o], d2[o], r + 1
+        best = np.full(len(ids), len(a))
+        np.minimum.at(best, a, np.arange(len(a)))
+        np.minimum.at(best, b, np.arange(len(a)))
+        m = np.flatnonzero((best[a] == best[b]) & (best[a] == np.arange(len(a))))
+        x, y = a[m], b[m]
+        sq[x] = (sq[x] * n[x] + sq[y] * n[y]) / (n[x] + n[y])
+        n[x] += n[y]
+        total[x] += total[y]
+        move, hit = np.arange(len(ids)), np.zeros(len(ids), bool)
+        move[y], hit[x], hit[y] = x, True, True
+        into = move[into]
+        fresh = hit[a] | hit[b]
+        p, q = move[a], move[b]
+        a, b = np.minimum(p, q), np.maximum(p, q)
+        keep = a != b
+        a, b, d2, fresh = a[keep], b[keep], d2[keep], fresh[keep]
+        _, first = np.unique(a * len(ids) + b, return_index=True)
+        a, b, d2, fresh = a[first], b[first], d2[first], fresh[first]
+        f = np.flatnonzero(fresh)
+        for lo in range(0, len(f), 1024):
+            g = f[lo : lo + 1024]
+            p, q = a[g], b[g]
+            d2[g] = np.maximum(0, sq[p] + sq[q] - 2 * np.einsum("ij,ij->i", total[p], total[q]) / (n[p] * n[q]))
+        keep = d2 <= most
+        a, b, d2 = a[keep], b[keep], d2[keep]
+    return into, n, sq, total
+
+
+def _bundle(dim: int, threshold: float):  # noqa: ANN202
+    def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("c").combine_chunks()
+        ids = nodes["c"].to_numpy()
+        m = unpack(nodes["packed"].to_pylist(), dim).astype(np.float64)
+        n = nodes["n"].to_numpy()
+        a, b = np.searchsorted(ids, links["a"].to_numpy()), np.searchsorted(ids, links["b"].to_numpy())
+        into, n, sq, total = agglomerate(ids, n, (m * m).sum(1), m * n[:, None], a, b, links["d2"].to_numpy(), threshold)
+        head = into == np.arange(len(ids))
+        packed = np.full(len(ids), None, object)
+        packed[head] = pack(total[head].astype(np.float32))
+        return pa.table({"member": pa.array(ids), "cluster": pa.array(ids[into]), "n": pa.array(n), "sq": pa.array(sq), "total": pa.array(list(packed), pa.binary())})
+
+    return run
+
+
+def link_clusters(nodes: DataFrame, links: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(member, cluster) of every linked node and the final states of their clusters: small components in bundles, large ones in rounds.
+
+    `nodes` (c, n, packed) are distinct vectors with their row counts, `links` (a, b, d2) their squared distances, a < b.
+    """
+    labels = components(links)
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"))
+    bundles = max(1, labels.count() // LOCAL_NODES)
+    place = labels.join(sizes, "comp").select("c", F.when(F.col("nodes") <= LOCAL_NODES, F.pmod(F.xxhash64("comp"), F.lit(bundles))).otherwise(-1).alias("bundle"))
+    placed = cut(nodes.join(place, "c"))
+    tied = cut(links.join(place.withColumnRenamed("c", "a"), "a"))
+    out = cut(
+        placed.filter("bundle >= 0").groupBy("bundle").cogroup(tied.filter("bundle >= 0").groupBy("bundle"))
+        .applyInArrow(_bundle(dim, threshold), "member bigint, cluster bigint, n bigint, sq double, total binary")
+    )
+    members, final = out.select("member", "cluster"), out.filter("total is not null").select(F.col("cluster").alias("c"), "n", "sq", "total")
+    large = placed.filter("bundle < 0")
+    if not large.isEmpty():
+        more, states = merge_rounds(large.select("c", "n", "packed").mapInArrow(_first_states(dim), _STATE), tied.filter("bundle < 0").select("a", "b", "d2"), dim, threshold)
+        members, final = members.unionByName(more), final.unionByName(states)
+    return members, final
+
+
 def clusters(df: DataFrame, key: str, vec: str, dim: int, threshold: float, k: int = 6, least_cells: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, cluster_id) of every sound row; the final states of the clusters of more than one distinct vector; the index.
 
@@ -129,9 +233,7 @@ def clusters(df: DataFrame, key: str, vec: str, dim: int, threshold: float, k: i
     near = ix.links(index, books, k, threshold, anchors=True)
     links = cut(near.select(F.least("qid", "eid").alias("a"), F.greatest("qid", "eid").alias("b"), (F.col("d") * F.col("d")).alias("d2")).groupBy("a", "b").agg(F.min("d2").alias("d2")))
     named = index.groupBy("h").agg(F.min(F.array_min("ids")).alias("c"), F.sum(F.size("ids")).alias("n"), F.first("packed").alias("packed"))
-    live = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).distinct()
-    states = named.join(live, "c", "left_semi").select("c", "n", "packed").mapInArrow(_first_states(dim), _STATE)
-    members, final = merge_rounds(states, links, dim, threshold)
+    members, final = link_clusters(named.select("c", "n", "packed"), links, dim, threshold)
     rows = index.join(named.select("h", "c"), "h").join(members.withColumnRenamed("member", "c"), "c", "left")
     return rows.select(F.explode("ids").alias("id"), F.coalesce("cluster", "c").alias("cluster_id")), final, index
 
