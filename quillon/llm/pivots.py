@@ -7,6 +7,11 @@ min(|x n p|, |y n p|) + min(|x - p|, |y - p|), and where that leaves the Jaccard
 the threshold no partner can be there. (The plain Jaccard bound d(y,p) <= d(x,p) + r is weaker: at
 a similarity of 0.7 it sends nearly every record to every cell.) Cells are joined exactly.
 
+Records with little overlap with any pivot ("far") are beyond what distances to pivots can tell
+apart: no such bound excludes two of them. Two far records are brought together by size band and
+by the leading values of their second set (of the set itself if there is none) in order of
+sampled rarity: two sets that reach the threshold share one of each other's leading values.
+
 Pivots come from a bounded sample; they only steer the work, the result is exact. Equal records
 are one class with a list of ids. Cells are counted exactly first, and large ones are cut into
 slices that all their visitors see, so no task holds an unbounded cell.
@@ -81,6 +86,11 @@ class Pivots:
         p = (ov / (size[:, None] + self.sizes[None] - ov)).argmax(1)
         return size, ov, np.stack([p, ov[np.arange(len(rows)), p] // OVERLAP_STEP, self.band(size)], 1)
 
+    def far(self, home: np.ndarray) -> np.ndarray:
+        """Whether a home cell's overlap is so small that its bound excludes nothing of that size."""
+        base = 1 / min(self.t, 0.95)
+        return home[:, 1] * OVERLAP_STEP <= (1 - self.t) * np.floor(base ** (home[:, 2] + 1) + 1e-6)
+
     def may_hold(self, size: np.ndarray, ov: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """(rows, cells): whether a record of the cell can reach the threshold with the row."""
         base = 1 / min(self.t, 0.95)
@@ -131,14 +141,30 @@ def _count_cells(pivots: Pivots):  # noqa: ANN202
         for b in batches:
             if b.num_rows:
                 _, _, home = pivots.home(_sets(b.column(0)))
+                home = home[~pivots.far(home)]
                 u, n = np.unique(home, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(u[:, i], pa.int32()) for i in range(3)), pa.array(n, pa.int64())], ["p", "o", "b", "n"])
 
     return run
 
 
-def _assign(pivots: Pivots, cells: np.ndarray, counts: np.ndarray):  # noqa: ANN202
-    """Rows (cell, slice, at_home, ...). Of two cells the one with fewer records visits the other."""
+class Leading:
+    """The leading values of a set: as many of its rarest (by a bounded sample) as leave no room for a partner without one of them."""
+
+    def __init__(self, sample: list[np.ndarray], rows: int, threshold: float) -> None:
+        self.t = threshold
+        u, n = np.unique(np.concatenate(sample) if sample else np.empty(0, np.int64), return_counts=True)
+        self.count = dict(zip(u.tolist(), n.tolist(), strict=True))
+        self.slices = {v: s for v, k in self.count.items() if (s := -int(-k * rows / max(1, len(sample)) // SLICE_ROWS)) > 1}
+
+    def of(self, s: np.ndarray) -> list[int]:
+        most = max(1, len(s) - int(np.ceil(self.t * len(s) - 1e-9)) + 1)
+        return sorted(s.tolist(), key=lambda v: (self.count.get(v, 0), v))[:most]
+
+
+def _assign(pivots: Pivots, cells: np.ndarray, counts: np.ndarray, leading: Leading, by_also: bool):  # noqa: ANN202
+    """Rows (cell, part, home, ...). Of two near cells the one with fewer records visits the other; far
+    records visit near cells, and meet each other in cells -1 - band, one part for each leading value."""
     order = {tuple(c): i for i, c in enumerate(cells.tolist())}
     slices = np.maximum(1, -(-counts // SLICE_ROWS))
     rank = np.lexsort((np.arange(len(cells)), counts)).argsort()
@@ -149,29 +175,84 @@ def _assign(pivots: Pivots, cells: np.ndarray, counts: np.ndarray):  # noqa: ANN
                 x = b.slice(lo, 512)
                 rows = _sets(x.column(3))
                 size, ov, home = pivots.home(rows)
-                own = np.array([order[tuple(h)] for h in home.tolist()])
-                go = pivots.may_hold(size, ov, cells) & (rank[None] > rank[own][:, None])
+                far = pivots.far(home)
+                own = np.array([-1 if f else order[tuple(h)] for h, f in zip(home.tolist(), far, strict=True)])
+                row_rank = np.where(own < 0, -1, rank[own]) if len(cells) else own
+                go = pivots.may_hold(size, ov, cells) & (rank[None] > row_rank[:, None])
                 r, c = np.nonzero(go)
-                r, c = np.concatenate([np.arange(len(own)), r]), np.concatenate([own, c])
-                many = slices[c]
+                near = np.flatnonzero(~far)
+                r, c = np.concatenate([near, r]), np.concatenate([own[near], c])
+                many = slices[c] if len(cells) else np.empty(0, int)
                 at = np.repeat(np.arange(len(r)), many)
                 part = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
                 r, c = r[at], c[at]
                 salt = np.array([int.from_bytes(h[:4], "little") for h in x.column(0).to_pylist()])
-                mine = (c == own[r]) & (part == salt[r] % slices[c])
+                mine = (c == own[r]) & (part == salt[r] % slices[c]) if len(cells) else np.empty(0, bool)
+                keys = _sets(x.column(4)) if by_also else rows
+                extra = []
+                for i in np.flatnonzero(far):
+                    for v in leading.of(keys[i]):
+                        n = leading.slices.get(v, 1)
+                        for k in range(n):  # slices of a common value: at home in one, a visitor to the others
+                            q = (v + k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63
+                            extra += [(i, -1 - home[i, 2], q, k == salt[i] % n), (i, -2 - home[i, 2], q, False)]
+                if extra:
+                    i, cell, q, at_home = zip(*extra, strict=True)
+                    r, c, part, mine = np.append(r, i).astype(int), np.append(c, cell).astype(int), np.concatenate([part, np.array(q, np.int64)]), np.append(mine, at_home).astype(bool)
                 least = np.array([min(a + z) for a, z in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int32()), pa.array(part, pa.int32()), pa.array(mine), x.column(0).take(pa.array(r)), pa.array(least[r], pa.int64()), x.column(3).take(pa.array(r)), x.column(4).take(pa.array(r))],
+                    [pa.array(c, pa.int32()), pa.array(part, pa.int64()), pa.array(mine), x.column(0).take(pa.array(r)), pa.array(least[r], pa.int64()), x.column(3).take(pa.array(r)), x.column(4).take(pa.array(r))],
                     ["cell", "part", "home", "h", "id", "main", "also"],
                 )
 
     return run
 
 
+def _flat(col: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenated tokens of sets and the row of each."""
+    n = np.array([len(x) // 8 for x in col])
+    return np.frombuffer(b"".join(col), np.int64), np.repeat(np.arange(len(col)), n)
+
+
+def _bitmaps(tokens: np.ndarray, rows: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    """Rows as 64-bit words over the sorted tokens `known`; other tokens are left out."""
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    hit = known[at] == tokens
+    bits = np.zeros((n, -(-len(known) // 64) * 64), np.uint8)
+    bits[rows[hit], at[hit]] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _overlaps(main: list[bytes], inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rows x inside overlaps) of tiles of the rows with the sets `inside`: by bitmaps over a small
+    vocabulary of these, else by their postings."""
+    tokens, rows = _flat([main[i] for i in inside])
+    known = np.unique(tokens)
+    if len(known) <= 8192:
+        home = _bitmaps(tokens, rows, len(inside), known)
+        tile = max(16, 4_000_000 // (len(inside) * home.shape[1]))
+        for lo in range(0, len(main), tile):
+            t, r = _flat(main[lo : lo + tile])
+            n = min(tile, len(main) - lo)
+            own = _bitmaps(t, r, n, known)
+            ov = np.zeros((n, len(inside)), np.int64)
+            for w in range(own.shape[1]):
+                ov += np.bitwise_count(own[:, w, None] & home[None, :, w])
+            yield np.arange(lo, lo + n), ov
+        return
+    o = np.argsort(tokens, kind="stable")
+    start, owner = np.append(np.searchsorted(tokens[o], known), len(tokens)), rows[o]
+    for y, m in enumerate(main):
+        s = np.frombuffer(m, np.int64)
+        k = np.searchsorted(known, s)
+        k = k[(k < len(known)) & (known[np.minimum(k, len(known) - 1)] == s)]
+        if len(k):
+            yield np.array([y]), np.bincount(np.concatenate([owner[start[j] : start[j + 1]] for j in k]), minlength=len(inside))[None]
+
+
 def _join(threshold: float, also_threshold: float):  # noqa: ANN202
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        hs, ids, home = group["h"].to_pylist(), group["id"].to_pylist(), group["home"].to_pylist()
+        hs, ids, home, main, also = (group[c].to_pylist() for c in ("h", "id", "home", "main", "also"))
         at: dict[bytes, int] = {}
         name: list[int] = []
         first: list[int] = []
@@ -183,32 +264,20 @@ def _join(threshold: float, also_threshold: float):  # noqa: ANN202
             else:
                 at[h] = len(name)
                 name.append(ids[i]), first.append(i), here.append(home[i])
-        main, also = group["main"], group["also"]
-        sets = [np.frombuffer(main[i].as_py(), np.int64) for i in first]
-        size, names = np.array([len(s) for s in sets]), np.array(name)
-        inside = np.flatnonzero(here)
+        sets, names, at_home = [main[i] for i in first], np.array(name), np.array(here)
+        size = np.array([len(m) // 8 for m in sets])
+        inside = np.flatnonzero(at_home)
         a_out, b_out, s_out = [], [], []
-        if len(inside):
-            flat = np.concatenate([sets[i] for i in inside])
-            owner = np.repeat(np.arange(len(inside)), size[inside])
-            o = np.argsort(flat, kind="stable")
-            tokens, start = np.unique(flat[o], return_index=True)
-            owner, start = owner[o], np.append(start, len(flat))
-            for y, s in enumerate(sets):
-                k = np.searchsorted(tokens, s)
-                k = k[(k < len(tokens)) & (tokens[np.minimum(k, len(tokens) - 1)] == s)]
-                if not len(k):
-                    continue
-                ov = np.bincount(np.concatenate([owner[start[j] : start[j + 1]] for j in k]), minlength=len(inside))
-                sim = ov / (size[inside] + len(s) - ov)
-                # a pair of two that are at home here is met twice: keep it once
-                ok = np.flatnonzero((sim >= threshold) & ((inside > y) | (not here[y])) & (inside != y))
-                for e in ok:
-                    x = int(inside[e])
-                    p, q = (np.frombuffer(also[first[z]].as_py(), np.int64) for z in (x, y))
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if both >= also_threshold * (len(p) + len(q) - both) - 1e-12:
-                        a_out.append(min(names[x], names[y])), b_out.append(max(names[x], names[y])), s_out.append(sim[e])
+        for rows, ov in _overlaps(sets, inside) if len(inside) else ():
+            sim = ov / (size[rows][:, None] + size[inside][None] - ov)
+            # a pair of two that are at home here is met twice: keep it once
+            ok = (sim >= threshold) & (inside[None] != rows[:, None]) & ((inside[None] > rows[:, None]) | ~at_home[rows][:, None])
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                x, y = int(inside[j]), int(rows[i])
+                p, q = (np.frombuffer(also[first[z]], np.int64) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= also_threshold * (len(p) + len(q) - both) - 1e-12:
+                    a_out.append(min(names[x], names[y])), b_out.append(max(names[x], names[y])), s_out.append(sim[i, j])
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64()), "similarity": pa.array(s_out, pa.float64())})
 
     return run
@@ -227,17 +296,20 @@ def similar_classes(left: DataFrame, key: str, main: Column, threshold: float, a
         rows = rows.withColumn("id", F.col("id") * 2 + F.col("side"))
     found = rows.mapInArrow(_classes, _CLASSES).persist()
     n = found.count()
-    sample = found.select("h", "main").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n)))).toArrow()
-    drawn = sorted({(h, m) for h, m in zip(sample["h"].to_pylist(), sample["main"].to_pylist(), strict=True)})
+    sample = found.select("h", "main", "also").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n)))).toArrow()
+    drawn = sorted(dict(zip(sample["h"].to_pylist(), zip(sample["main"].to_pylist(), sample["also"].to_pylist(), strict=True), strict=True)).values())
     classes = found.groupBy("h").agg(F.min(F.array_min(F.concat("left_ids", "right_ids"))).alias("class_id"), F.flatten(F.collect_list("left_ids")).alias("left_ids"), F.flatten(F.collect_list("right_ids")).alias("right_ids")).drop("h")
     if not drawn:
         return classes, spark.createDataFrame([], "a bigint, b bigint, similarity double")
     take = max(1, min(MOST_PIVOTS, int(np.sqrt(n)), len(drawn)))
-    pivots = Pivots([np.frombuffer(m, np.int64) for _, m in drawn[:: len(drawn) // take][:take]], threshold)
+    rng = np.random.default_rng(7)
+    pivots = Pivots([np.frombuffer(drawn[i][0], np.int64) for i in rng.choice(len(drawn), take, replace=False)], threshold)
+    by_also = also is not None and also_threshold > 0
+    leading = Leading([np.frombuffer(m[by_also], np.int64) for m in drawn], n, also_threshold if by_also else threshold)
     counted = found.select("main").mapInArrow(_count_cells(pivots), "p int, o int, b int, n bigint").groupBy("p", "o", "b").agg(F.sum("n").alias("n")).toArrow()  # bounded by pivots x overlaps x bands
-    cells = np.stack([counted[c].to_numpy() for c in ("p", "o", "b")], 1)
+    cells = np.stack([counted[c].to_numpy() for c in ("p", "o", "b")], 1).astype(int).reshape(-1, 3)
     o = np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0]))
-    placed = found.mapInArrow(_assign(pivots, cells[o], counted["n"].to_numpy()[o]), "cell int, part int, home boolean, h binary, id bigint, main binary, also binary")
+    placed = found.mapInArrow(_assign(pivots, cells[o], counted["n"].to_numpy()[o], leading, by_also), "cell int, part bigint, home boolean, h binary, id bigint, main binary, also binary")
     pairs = placed.groupBy("cell", "part").applyInArrow(_join(threshold, also_threshold), "a bigint, b bigint, similarity double")
     return classes, pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from . import index as ix
 from . import leximin as lx
 from . import linkage as lk
 from . import pivots as pv
+from . import tokens as tk
 from . import topn
 
 
@@ -84,6 +86,24 @@ def p7_ranked(spark: SparkSession, d: str) -> DataFrame:
     return topn.least_partners(_t(spark, d, "ti_imdb_t1_imdb_t2"), 5)
 
 
+#: The folder of the public vocabularies.
+TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary() -> tk.Vocabulary:
+    return tk.Vocabulary(os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tk.encode(_t(spark, d, "documents"), "doc_id", "text", vocabulary())
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text after encoding and decoding: the text itself, empty for null."""
+    v = vocabulary()
+    return p8_ids(spark, d).select("doc_id", tk.decode(F.col("ids"), v).alias("text"), F.size("ids").alias("tokens"))
+
+
 _SOUND = "(len({v}) = {n} and len(list_filter({v}, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter({v}, lambda x: x <> 0)) > 0)"
 _P1 = f"""
 with v as (select 'plot_emb' field, id, plot_emb::double[] v from imdb_t1_hnsw where {_SOUND.format(v="plot_emb", n=1536)}
@@ -114,7 +134,7 @@ r as (select *, row_number() over (partition by id1 order by dis, id2) rk from l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_rank, p3_found, p3_classes, p6_found, p6_clusters, p7_found, p7_ranked)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_rank, p3_found, p3_classes, p6_found, p6_clusters, p7_found, p7_ranked, p8_ids, p8_decoded)}
 
 
 def oracle_sql() -> dict[str, str]:
