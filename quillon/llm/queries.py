@@ -14,6 +14,7 @@ from . import linkage as lk
 from . import pivots as pv
 from . import tokens as tk
 from . import topn
+from . import truncation as tr
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -104,6 +105,15 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return p8_ids(spark, d).select("doc_id", tk.decode(F.col("ids"), v).alias("text"), F.size("ids").alias("tokens"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return tr.truncated(_t(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return tr.truncation_report(_t(spark, d, "documents"), "doc_id", "text", "source")
+
+
 _SOUND = "(len({v}) = {n} and len(list_filter({v}, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter({v}, lambda x: x <> 0)) > 0)"
 _P1 = f"""
 with v as (select 'plot_emb' field, id, plot_emb::double[] v from imdb_t1_hnsw where {_SOUND.format(v="plot_emb", n=1536)}
@@ -134,7 +144,7 @@ r as (select *, row_number() over (partition by id1 order by dis, id2) rk from l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_rank, p3_found, p3_classes, p6_found, p6_clusters, p7_found, p7_ranked, p8_ids, p8_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_rank, p3_found, p3_classes, p6_found, p6_clusters, p7_found, p7_ranked, p8_ids, p8_decoded, p10_found, p10_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
