@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import index as ix
 from . import leximin as lx
 from . import linkage as lk
+from . import mixing as mx
 from . import pivots as pv
 from . import tokens as tk
 from . import topn
@@ -105,6 +107,21 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return p8_ids(spark, d).select("doc_id", tk.decode(F.col("ids"), v).alias("text"), F.size("ids").alias("tokens"))
 
 
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return cut(mx.weighted_documents(docs, tk.token_counts(docs, "doc_id", "text", vocabulary())))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each plan uses each document."""
+    return mx.mix(_weighted(spark, d), _t(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The target and reached shares of each plan and source."""
+    return mx.report(_weighted(spark, d), _t(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return tr.truncated(_t(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -144,7 +161,7 @@ r as (select *, row_number() over (partition by id1 order by dis, id2) rk from l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_rank, p3_found, p3_classes, p6_found, p6_clusters, p7_found, p7_ranked, p8_ids, p8_decoded, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_rank, p3_found, p3_classes, p6_found, p6_clusters, p7_found, p7_ranked, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
