@@ -29,9 +29,9 @@ def running_total(df: DataFrame, group: list[str], order: str, weight: str, out:
     placed = placed.withColumn(b, F.size(F.filter(F.col(s), lambda x: x < F.col(order)))).drop(s)
     totals = placed.groupBy(*group, b).agg(F.sum(weight).alias("__t"))
     w = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if group else Window.partitionBy(F.lit(1)).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")  # at most `buckets` rows a group
+    before = totals.withColumn("__earlier", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")  # at most `buckets` rows a group
     inside = Window.partitionBy(*group, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(before, [*group, b]).withColumn(out, F.col("__before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop(b, "__before")
+    return placed.join(before, [*group, b]).withColumn(out, F.col("__earlier") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop(b, "__earlier")
 
 
 def count_better(df: DataFrame, group: list[str], value: Column, out: str, higher_is_better: bool = True, buckets: int = 64) -> DataFrame:
