@@ -46,12 +46,13 @@ class Codebooks:
         h = self.dim // 2
         return np.sqrt(square_distances(m[:, :h], self.first)), np.sqrt(square_distances(m[:, h:], self.second))
 
-    def groups_of(self, c1: np.ndarray | int) -> np.ndarray | int:
-        """Into how many groups the entries of a first codeword are split."""
-        return np.maximum(1, np.ceil(self.cells.sum(1) / GROUP_ROWS).astype(int))[c1]
+    def groups(self) -> np.ndarray:
+        """Into how many groups the entries of each first codeword are split."""
+        return np.maximum(1, np.ceil(self.cells.sum(1) / GROUP_ROWS).astype(int))
 
-    def slices_of(self, c1: int, c2: int) -> int:
-        return max(1, -int(-self.cells[c1, c2] // SLICE_ROWS))
+    def slices(self) -> np.ndarray:
+        """Into how many slices each cell is cut."""
+        return np.maximum(1, np.ceil(self.cells / SLICE_ROWS).astype(int))
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -106,26 +107,29 @@ def _pack_all(dim: int):  # noqa: ANN202
     return run
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, cells: np.ndarray, least_cells: int, least_entries: int) -> list[tuple[int, int]]:
-    """Cells of one query by increasing d1[i] + d2[j], from a heap over the two sorted lists.
+def traverse(d1: list[float], d2: list[float], occupied: list[list[int]], sizes: list[list[float]], home: tuple[int, int], least_cells: int, least_entries: int) -> list[tuple[int, int]]:
+    """Cells of one query by increasing d1[i] + d2[j], from a heap.
 
-    Goes on until `least_cells` occupied cells and `least_entries` estimated entries were visited;
-    cells empty in the sample are visited too where they come up, but do not count.
+    First codewords are opened in the order of d1, each putting its `occupied` cells on the heap; a
+    cell is taken once no unopened codeword can be nearer. Goes on until `least_cells` cells and
+    `least_entries` estimated entries were visited. The query's own cell is always visited; others
+    that the sample shows empty are not: their few rows look out for their neighbours themselves.
     """
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out, n, full = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0.0, 0
-    while heap and (full < least_cells or n < least_entries):
+    order, nearest = sorted(range(len(d1)), key=d1.__getitem__), min(d2)
+    heap: list[tuple[float, int, int]] = []
+    out, n, at = [home], sizes[home[0]][home[1]], 0
+    while len(out) < least_cells or n < least_entries:
+        while at < len(order) and (not heap or d1[order[at]] + nearest < heap[0][0]):
+            i = order[at]
+            for j in occupied[i]:
+                heapq.heappush(heap, (d1[i] + d2[j], i, j))
+            at += 1
+        if not heap:
+            break
         _, i, j = heapq.heappop(heap)
-        a, b = int(o1[i]), int(o2[j])
-        if cells[a, b] or not out:
-            out.append((a, b))
-            n, full = n + cells[a, b], full + 1
-        elif len(out) < 2 * least_cells:
-            out.append((a, b))
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(o1) and q < len(o2) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (d1[o1[p]] + d2[o2[q]], p, q))
+        if (i, j) != home:
+            out.append((i, j))
+            n += sizes[i][j]
     return out
 
 
@@ -143,14 +147,14 @@ def entries(df: DataFrame, key: Column, vec: str, books: Codebooks, asks: Column
     return x.mapInArrow(_index(books, least_cells, least_entries), _ENTRY)
 
 
-def _place(books: Codebooks, home: tuple[int, int], visits: list[tuple[int, int]], salt: int) -> list[dict]:
+def _place(groups: list[int], slices: list[list[int]], codes: int, home: tuple[int, int], visits: list[tuple[int, int]], salt: int) -> list[dict]:
     """Where an entry goes. A group is a first codeword, a part of it holds the second codewords c2
     with c2 % groups == part; slice s > 0 of a large cell is a part of its own, numbered on from the rest."""
     at: dict[tuple[int, int], dict] = {}
 
     def parts(c1: int, c2: int) -> list[int]:
-        g = int(books.groups_of(c1))
-        return [c2 % g] + [g + c2 + len(books.second) * (s - 1) for s in range(1, books.slices_of(c1, c2))]
+        g = groups[c1]
+        return [c2 % g] + [g + c2 + codes * (s - 1) for s in range(1, slices[c1][c2])]
 
     def row(c1: int, part: int) -> dict:
         return at.setdefault((c1, part), {"grp": c1, "part": part, "home": -1, "visits": []})
@@ -181,12 +185,14 @@ def _index(books: Codebooks, least_cells: int, least_entries: int):  # noqa: ANN
                 ids[h].append(int(k))
                 if a:
                     asked.setdefault(h, []).append(int(k))
+        occupied, sizes = [np.flatnonzero(r).tolist() for r in books.cells], books.cells.tolist()
+        groups, slices = books.groups().tolist(), books.slices().tolist()
         out: list[tuple] = []
         for h, own in ids.items():
             d1, d2 = codes[h]
             home = (int(d1.argmin()), int(d2.argmin()))
-            visits = traverse(d1, d2, books.cells, least_cells, least_entries) if h in asked else []
-            out.append((h, sorted(own), sorted(asked.get(h, [])), packed[h], _place(books, home, visits, int.from_bytes(h[:4], "little"))))
+            visits = traverse(d1.tolist(), d2.tolist(), occupied, sizes, home, least_cells, least_entries) if h in asked else []
+            out.append((h, sorted(own), sorted(asked.get(h, [])), packed[h], _place(groups, slices, len(books.second), home, visits, int.from_bytes(h[:4], "little"))))
             if len(out) == 512:
                 yield _batch(out)
                 out = []
