@@ -54,10 +54,13 @@ class Vocabulary:
             lists[zlib.crc32(h.encode()) % LISTS][h] = rank
         return json.dumps(lists, separators=(",", ":"))
 
-    def rank(self, piece: Column) -> Column:
-        """The id of a piece given as upper-case hexadecimal text, or null."""
+    def with_ranks(self, f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """f(rank): an expression that looks up ranks, with the literal map in it once.
+
+        rank(piece) is the id of a piece given as upper-case hexadecimal text, or null.
+        """
         literal = F.from_json(F.lit(self._lists), "array<map<string,int>>")
-        return F.try_element_at(F.get(literal, F.pmod(F.crc32(piece.cast("binary")), F.lit(LISTS)).cast("int")), piece)
+        return _let(literal, lambda lists: f(lambda piece: F.try_element_at(F.get(lists, F.pmod(F.crc32(piece.cast("binary")), F.lit(LISTS)).cast("int")), piece)))
 
     @cached_property
     def _pieces(self) -> str:
@@ -80,9 +83,9 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _fold(hexed: Column, v: Vocabulary) -> Column:
+def _fold(hexed: Column, rank: Callable[[Column], Column]) -> Column:
     """Ids of a word of at least two bytes, given as hexadecimal text."""
-    score = lambda p: F.coalesce(v.rank(p), F.lit(_NONE))
+    score = lambda p: F.coalesce(rank(p), F.lit(_NONE))
     n = (F.length(hexed) / 2).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(hexed, i * 2 + 1, F.lit(2)))
     start = _let(parts, lambda p: F.struct(p.alias("parts"), F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: score(F.concat(a, b))).alias("ranks")))
@@ -105,7 +108,7 @@ def _fold(hexed: Column, v: Vocabulary) -> Column:
         return _let(best, lambda m: F.when(m == _NONE, acc).otherwise(_let(F.array_position(acc["ranks"], m).cast("int"), lambda i: merge(acc, i))))
 
     end = F.aggregate(F.sequence(F.lit(1), n - 1), start, step)
-    return F.transform(end["parts"], lambda p: v.rank(p))
+    return F.transform(end["parts"], rank)
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -142,7 +145,7 @@ def _long(ranks: dict[bytes, int]):  # noqa: ANN202
 
 def encode_words(distinct: DataFrame, v: Vocabulary) -> DataFrame:
     """(word, ids) of distinct words given as hexadecimal text in `word`."""
-    short = distinct.filter(F.length("word") <= 2 * LONG_WORD).select("word", F.when(F.length("word") > 2, _fold(F.col("word"), v)).otherwise(F.array(v.rank(F.col("word")))).alias("ids"))
+    short = distinct.filter(F.length("word") <= 2 * LONG_WORD).select("word", v.with_ranks(lambda rank: F.when(F.length("word") > 2, _fold(F.col("word"), rank)).otherwise(F.array(rank(F.col("word"))))).alias("ids"))
     return short.unionByName(distinct.filter(F.length("word") > 2 * LONG_WORD).select("word").mapInArrow(_long(v.ranks), "word string, ids array<int>"))
 
 
@@ -155,7 +158,7 @@ def encode(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
     """
     src = df.select(F.col(key), F.col(text).alias("__text"))
     src = src.withColumn("__h", F.xxhash64("__text")).withColumn("__w", F.transform(words(F.col("__text"), v), lambda w: F.hex(F.encode(w, "utf-8")))).drop("__text")
-    src = src.withColumn("__k", F.transform("__w", lambda w: v.rank(w)))
+    src = src.withColumn("__k", v.with_ranks(lambda rank: F.transform("__w", rank)))
     places = src.select(key, "__h", F.explode(F.filter(F.transform("__w", lambda w, i: F.when(F.isnull(F.get(F.col("__k"), i)), F.struct(i.alias("i"), w.alias("word")))), lambda x: x.isNotNull())).alias("p"))
     rare = cut(places.select(key, "__h", "p.i", "p.word").distinct())
     done = encode_words(rare.select("word").distinct(), v)
