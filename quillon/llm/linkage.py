@@ -252,13 +252,13 @@ def _typicality(dim: int):  # noqa: ANN202
                 m = unpack(x.column(2).to_pylist(), dim).astype(np.float64)
                 n = x.column(3).to_numpy(zero_copy_only=False)
                 d = m - unpack(x.column(4).to_pylist(), dim) / n[:, None]
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.sqrt((d * d).sum(1)))], ["cluster_id", "ids", "distance"])
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.sqrt((d * d).sum(1)).round(6))], ["cluster_id", "ids", "distance"])
 
     return run
 
 
 def describe(rows: DataFrame, states: DataFrame, index: DataFrame, dim: int, least: int, typical: int = 3) -> DataFrame:
-    """(cluster_id, size, typical): each cluster of at least `least` rows with the ids of the rows nearest its mean vector."""
+    """(cluster_id, size, typical): each cluster of at least `least` rows with the ids of the rows nearest its mean vector (distances rounded to six places, ties by id)."""
     sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
     named = index.select(F.array_min("ids").alias("id"), F.slice("ids", 1, typical).alias("ids"), "packed").join(rows, "id")
     far = named.join(states.withColumnRenamed("c", "cluster_id"), "cluster_id").select("cluster_id", "ids", "packed", "n", "total").mapInArrow(_typicality(dim), "cluster_id bigint, ids array<bigint>, distance double")
