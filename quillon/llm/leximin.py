@@ -103,10 +103,8 @@ def rank_films(films: DataFrame, queries: DataFrame, dim: int = 1536) -> DataFra
     ok = films.select(F.col("id").cast("bigint").alias("id"), "rating", "num_votes", "plot_emb").filter(
         F.col("id").isNotNull() & F.col("rating").between(0, 10) & ~F.isnan("rating") & (F.col("num_votes") >= 0)
     )
-    near = query_distances(ok, "id", "plot_emb", dim, queries, "query_id", "query_emb")
-    zeros = F.exists("plot_emb", lambda v: v != 0)
-    sound = ok.filter((F.size("plot_emb") == dim) & ~F.exists("plot_emb", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & zeros).select("id", "rating", "num_votes")
-    sound = cut(sound)  # narrow rows: the vectors are read once for this and once for the distances
+    near = cut(query_distances(ok, "id", "plot_emb", dim, queries, "query_id", "query_emb"))  # the vectors are read once
+    sound = cut(ok.select("id", "rating", "num_votes").join(near.select("id").distinct(), "id", "left_semi"))
     n = sound.count()
     own = better_counts(sound, [], ["id"], {"rating": (F.col("rating"), True), "votes": (F.col("num_votes"), True)})
     each = better_counts(near, ["query_id"], ["id"], {"distance": (F.col("distance"), False)})
