@@ -31,6 +31,8 @@ from ..session import cut
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lists of the literal rank map; bytes from which a word is merged with a heap.
 LISTS, LONG_WORD = 8192, 400
+#: Characters of a plan description.
+PLAN_STRING = 50_000
 _NONE = 2**31 - 1
 
 
@@ -154,8 +156,13 @@ def encode(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
 
     An empty and a null text both give an empty list. Rows keep their number and their key, null or
     repeated keys included; texts may be of any length and are read whole. An empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. Plan descriptions of the session are shortened from
+    here on (spark.sql.maxPlanStringLength, where it is not set): each would repeat the rank map, a megabyte, in the
+    driver's memory.
     """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.maxPlanStringLength").startswith("21474836"):  # the default, no limit
+        conf.set("spark.sql.maxPlanStringLength", f"{PLAN_STRING}b")
     src = df.select(F.col(key), F.col(text).alias("__text"))
     src = src.withColumn("__h", F.xxhash64("__text")).withColumn("__w", F.transform(words(F.col("__text"), v), lambda w: F.hex(F.encode(w, "utf-8")))).drop("__text")
     src = src.withColumn("__k", v.with_ranks(lambda rank: F.transform("__w", rank)))
