@@ -11,7 +11,9 @@ over it stays over it, and one under it keeps the merged link alive.
 The links fall into connected components, and no cluster reaches beyond its component. Components
 of up to `LOCAL_NODES` vectors are dealt to tasks in bundles of about that size, each task running
 the rounds of its bundle in memory; larger ones run the same rounds over DataFrames, so no task
-holds an unbounded component. Equal partners are ordered by a hash of the pair, so that a crowd of equal distances pairs off all
+holds an unbounded component, until no link is left or `LOCAL_NODES` clusters or fewer are live and
+go to a task. The rounds of a crowd grow with its size, so a component whose clusters lie so near
+its mean that every two unions of them are within the threshold becomes one cluster at once. Equal partners are ordered by a hash of the pair, so that a crowd of equal distances pairs off all
 over at once and does not queue at its least member. States and links are cut each round in the
 shared checkpoint folder; clusters without links leave the rounds.
 """
@@ -19,6 +21,8 @@ shared checkpoint folder; clusters without links leave the rounds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ from .vectors import pack, unpack
 LOCAL_NODES = 2000
 
 _STATE = "c bigint, n bigint, sq double, total binary"
+_BUNDLED = "member bigint, cluster bigint, n bigint, sq double, total binary"
 
 
 def _first_states(dim: int):  # noqa: ANN202
@@ -81,21 +86,107 @@ def _linkage(dim: int, threshold: float):  # noqa: ANN202
     return run
 
 
-def merge_rounds(states: DataFrame, links: DataFrame, dim: int, threshold: float, most_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def _moments(dim: int):  # noqa: ANN202
+    """Rows (comp, n, sq, total) -> (c, n, sq, total) of each component's rows in the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list] = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                x = b.slice(lo, 512)
+                comp, n, sq = (x.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+                total = unpack(x.column(3).to_pylist(), dim).astype(np.float64)
+                for c in np.unique(comp).tolist():
+                    own, at = comp == c, seen.setdefault(c, [0, 0.0, np.zeros(dim)])
+                    at[0], at[1], at[2] = at[0] + int(n[own].sum()), at[1] + float((n[own] * sq[own]).sum()), at[2] + total[own].sum(0)
+        for c, (n, sq, total) in seen.items():
+            yield _states(pa.array([c], pa.int64()), np.array([n]), np.array([sq / n]), total[None])
+
+    return run
+
+
+def _union(dim: int):  # noqa: ANN202
+    def run(parts: pa.Table) -> pa.Table:
+        n, sq, total = parts["n"].to_numpy(), parts["sq"].to_numpy(), unpack(parts["total"].to_pylist(), dim).astype(np.float64)
+        return pa.Table.from_batches([_states(pa.array([parts["c"][0].as_py()], pa.int64()), np.array([n.sum()]), np.array([(n * sq).sum() / n.sum()]), total.sum(0)[None])])
+
+    return run
+
+
+def _spread(dim: int):  # noqa: ANN202
+    """Rows (comp, n, sq, total, n2, total2) -> (comp, far, off): the mean squared distance of the first
+    cluster's records from the mean of the second, and the squared distance of the means."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                x = b.slice(lo, 512)
+                n1, sq, n2 = (x.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 4))
+                m1, m2 = (unpack(x.column(i).to_pylist(), dim).astype(np.float64) / n[:, None] for i, n in ((3, n1), (5, n2)))
+                off = ((m1 - m2) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(np.maximum(0, sq - (m1 * m1).sum(1)) + off), pa.array(off)], ["comp", "far", "off"])
+
+    return run
+
+
+def crowds(states: DataFrame, labels: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """States (c, n, sq, total) of the components (c, comp) that end as one cluster in whatever order they merge.
+
+    The mean squared distance of two unions A and B of clusters is far(A) + far(B) less twice the
+    product of their means, all from the component's mean; so 2 max far + 2 max off bounds it.
+    Only components of more than LOCAL_NODES clusters are asked, so their means are few.
+    """
+    large = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") > LOCAL_NODES).select("comp")
+    x = states.join(labels, "c").join(large, "comp").select("comp", "n", "sq", "total")
+    whole = cut(x.mapInArrow(_moments(dim), _STATE).groupBy("c").applyInArrow(_union(dim), _STATE))
+    mean = whole.select(F.col("c").alias("comp"), F.col("n").alias("n2"), F.col("total").alias("total2"))
+    spread = x.join(F.broadcast(mean), "comp").select("comp", "n", "sq", "total", "n2", "total2").mapInArrow(_spread(dim), "comp bigint, far double, off double")
+    near = spread.groupBy("comp").agg((2 * F.max("far") + 2 * F.max("off")).alias("most")).filter(F.col("most") <= threshold * threshold)
+    return cut(whole.join(near.select(F.col("comp").alias("c")), "c", "left_semi"))
+
+
+def _moved(members: DataFrame, into: DataFrame) -> DataFrame:
+    """(member, cluster) after the clusters of `into` (cluster, into) became others."""
+    return members.join(into, "cluster", "left").select("member", F.coalesce("into", "cluster").alias("cluster"))
+
+
+def merge_rounds(states: DataFrame, links: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Merge until no link is within the threshold: (member, cluster) of every linked node, and the clusters' final states.
 
     `states` (c, n, sq, total) are the linked nodes, `links` (a, b, d2), a < b, their squared distances.
+    The least link is always a mutual choice, so every round merges and the rounds come to an end.
+    Components are told anew at rounds 0, 1, 2, 4, 8 and so on, at least every 32.
     """
     links, states = cut(links), cut(states)
     members = states.select(F.col("c").alias("member"), F.col("c").alias("cluster"))
-    done = []
-    for r in range(most_rounds):
+    done = [states.limit(0)]
+    for r in count():
+        if r & (r - 1) == 0 or r % 32 == 0:
+            labels = components(links)
+            one = crowds(states, labels, dim, threshold)
+            if not one.isEmpty():
+                inside = labels.join(one.select(F.col("c").alias("comp")), "comp").select(F.col("c").alias("cluster"), F.col("comp").alias("into"))
+                members, done = _moved(members, inside), [*done, one]
+                states = cut(states.join(inside.select(F.col("cluster").alias("c")), "c", "left_anti"))
+                links = cut(links.join(inside.select(F.col("cluster").alias("a")), "a", "left_anti"))
+        # components that fit a task by now
+        live = states.join(labels, "c")
+        small = live.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") <= LOCAL_NODES)
+        fits = small.agg(F.sum("nodes")).first()[0]
+        if fits:
+            part = cut(live.join(small.select("comp"), "comp").withColumn("bundle", F.pmod(F.xxhash64("comp"), F.lit(max(1, fits // LOCAL_NODES)))).drop("comp"))
+            tied = cut(links.join(part.select(F.col("c").alias("a"), "bundle"), "a"))
+            out = cut(part.groupBy("bundle").cogroup(tied.groupBy("bundle")).applyInArrow(_bundle(dim, threshold, merged=True), _BUNDLED))
+            members = _moved(members, out.select(F.col("member").alias("cluster"), F.col("cluster").alias("into")))
+            done.append(out.filter("total is not null").select(F.col("cluster").alias("c"), "n", "sq", "total"))
+            states = cut(states.join(part.select("c"), "c", "left_anti"))
+            links = cut(links.join(part.select(F.col("c").alias("a")), "a", "left_anti"))
         both = links.select(F.col("a").alias("x"), "a", "b", "d2").unionByName(links.select(F.col("b").alias("x"), "a", "b", "d2"))
         best = both.groupBy("x").agg(F.min(F.struct("d2", F.xxhash64("a", "b", F.lit(r)).alias("h"), "a", "b")).alias("p"))
         pairs = cut(best.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2").select("a", "b"))
         if pairs.isEmpty():
             break
-        members = members.join(pairs.select(F.col("b").alias("cluster"), F.col("a").alias("into")), "cluster", "left").select("member", F.coalesce("into", "cluster").alias("cluster"))
+        members = _moved(members, pairs.select(F.col("b").alias("cluster"), F.col("a").alias("into")))
         touched = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c")))
         other = states.toDF("b", "n2", "sq2", "total2")
         merged = pairs.join(states.withColumnRenamed("c", "a"), "a").join(other, "b").select("a", "n", "sq", "total", "n2", "sq2", "total2").mapInArrow(_merge(dim), _STATE)
@@ -112,11 +203,9 @@ def merge_rounds(states: DataFrame, links: DataFrame, dim: int, threshold: float
         live = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).distinct()
         done.append(states.join(live, "c", "left_anti"))
         states = states.join(live, "c", "left_semi")
-    done.append(states)
-    final = done[0]
-    for x in done[1:]:
-        final = final.unionByName(x)
-    return members, final
+        if r % 8 == 7:  # plans stay short however many rounds there are
+            members, done = cut(members), [cut(reduce(DataFrame.unionByName, done))]
+    return members, reduce(DataFrame.unionByName, [*done, states])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,14 +267,17 @@ def agglomerate(ids: np.ndarray, n: np.ndarray, sq: np.ndarray, total: np.ndarra
     return into, n, sq, total
 
 
-def _bundle(dim: int, threshold: float):  # noqa: ANN202
+def _bundle(dim: int, threshold: float, merged: bool = False):  # noqa: ANN202
+    """Nodes are distinct vectors (c, n, packed) or, if `merged`, clusters' states."""
+
     def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
         nodes = nodes.sort_by("c").combine_chunks()
         ids = nodes["c"].to_numpy()
-        m = unpack(nodes["packed"].to_pylist(), dim).astype(np.float64)
+        m = unpack(nodes["total" if merged else "packed"].to_pylist(), dim).astype(np.float64)
         n = nodes["n"].to_numpy()
+        sq, total = (nodes["sq"].to_numpy(), m) if merged else ((m * m).sum(1), m * n[:, None])
         a, b = np.searchsorted(ids, links["a"].to_numpy()), np.searchsorted(ids, links["b"].to_numpy())
-        into, n, sq, total = agglomerate(ids, n, (m * m).sum(1), m * n[:, None], a, b, links["d2"].to_numpy(), threshold)
+        into, n, sq, total = agglomerate(ids, n, sq, total, a, b, links["d2"].to_numpy(), threshold)
         head = into == np.arange(len(ids))
         packed = np.full(len(ids), None, object)
         packed[head] = pack(total[head].astype(np.float32))
@@ -207,7 +299,7 @@ def link_clusters(nodes: DataFrame, links: DataFrame, dim: int, threshold: float
     tied = cut(links.join(place.withColumnRenamed("c", "a"), "a"))
     out = cut(
         placed.filter("bundle >= 0").groupBy("bundle").cogroup(tied.filter("bundle >= 0").groupBy("bundle"))
-        .applyInArrow(_bundle(dim, threshold), "member bigint, cluster bigint, n bigint, sq double, total binary")
+        .applyInArrow(_bundle(dim, threshold), _BUNDLED)
     )
     members, final = out.select("member", "cluster"), out.filter("total is not null").select(F.col("cluster").alias("c"), "n", "sq", "total")
     large = placed.filter("bundle < 0")

@@ -111,3 +111,25 @@ def test_clusters(spark, monkeypatch, local):
         own = np.flatnonzero([got[int(i)] == c for i in ids])
         far = np.sqrt(((m[own] - m[own].mean(0)) ** 2).sum(1)).round(6)
         assert r["size"] == len(own) and list(r.typical) == [int(ids[own[j]]) for j in sorted(range(len(own)), key=lambda j: (far[j], ids[own[j]]))[:3]]
+
+
+def _link_clusters(spark, monkeypatch, scale, local):
+    """Orthogonal vectors of the lengths `scale`, each linked to its nearest 6, the least: the least is everyone's best partner, so that each round merges one vector."""
+    m = np.diag(scale).astype(np.float32)
+    pairs = sorted({(a, b) for b in range(1, len(m)) for a in range(min(6, b))})
+    nodes = spark.createDataFrame([(i, 1, p) for i, p in enumerate(pack(m))], "c bigint, n bigint, packed binary")
+    links = spark.createDataFrame([(a, b, float(((m[a] - m[b]) ** 2).sum())) for a, b in pairs], "a bigint, b bigint, d2 double")
+    monkeypatch.setattr(lk, "LOCAL_NODES", local)
+    members, states = lk.link_clusters(nodes, links, len(m), 0.6)
+    return {r.member: r.cluster for r in members.collect()}, {r.c: r.n for r in states.collect()}
+
+
+def test_large_crowd_is_merged_whole(spark, monkeypatch):
+    got, states = _link_clusters(spark, monkeypatch, np.linspace(0.05, 0.25, 220), 50)  # 219 rounds by mutual choices
+    assert set(got.values()) == {0} and len(got) == 220 and states == {0: 220}
+
+
+def test_large_loose_component_goes_on_in_a_task(spark, monkeypatch):
+    scale = np.linspace(0.3, 0.5, 30)  # too wide for the bound of a crowd; the longest stay out
+    want = _link_clusters(spark, monkeypatch, scale, 2000)
+    assert 1 < len(set(want[0].values())) < 15 and _link_clusters(spark, monkeypatch, scale, 27) == want
