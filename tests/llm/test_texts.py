@@ -102,3 +102,19 @@ def test_copies_that_go_on(spark):
     texts = [(1, long), (2, long[:-20]), (3, SENTENCES[0] + " " + SENTENCES[1]), (4, "short"), (5, long.upper())]
     got = {r.id for r in tr.cut_copies(spark.createDataFrame(texts, "id bigint, text string")).collect()}
     assert 2 in got and not got & {1, 3, 4, 5}
+
+
+def test_edited_copies_that_go_on(spark):
+    long = " ".join(SENTENCES[:4])
+    cut = long[:-20]
+    words = cut.split(" ")
+    swapped, less, more = (" ".join(words[:3] + new + words[4:]) for new in (["Zebra"], [], [words[3], "indeed"]))
+    late = " ".join(words[:-3] + ["zebra"] + words[-2:])
+    other = " ".join(reversed(words))
+    rows = list(enumerate([long, swapped, less, more, late, other]))
+    assert {r.id for r in tr.cut_copies(spark.createDataFrame(rows, "id bigint, text string")).collect()} == {1, 2, 3, 4}
+
+
+def test_edits():
+    assert tr.edits(list("abcdef"), list("abcdef"), 0) == 0 and tr.edits(list("abcdef"), list("abxdef"), 4) == 2
+    assert tr.edits(list("abcdef"), list("bcdefg"), 4) == 2 and tr.edits(list("abc"), list("xyz"), 3) == 4
