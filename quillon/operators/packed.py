@@ -36,7 +36,7 @@ _QUOTED = [
     (re.compile(rf"'([^,;|/]*?)'{_CLOSED}", re.S), "''", "'"),
 ]
 _ENCLOSING = {"[": "]", "{": "}"}
-#: Pieces that one value may be joined from.
+#: Pieces that one value may be joined from, besides the additions that follow them.
 MOST_JOINED = 3
 
 
@@ -115,12 +115,17 @@ def _lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append({"i": i, "j": i + 1, "value": v, "form": form(v), "words": len(v.split()), "single": True, "quoted": quoted})
                 if quoted:
                     continue
-                for j in range(i + 1, min(i + MOST_JOINED, len(p))):
-                    if p[j][3]:
-                        break
-                    kind_of = {x.strip()[:1] for x in (text[p[k][1] : p[k + 1][0]] for k in range(i, j))}
-                    if len(kind_of) > 1:  # a value has one kind of delimiter inside
+                inside = None
+                for j in range(i + 1, len(p)):
+                    kind_of = text[p[j - 1][1] : p[j][0]].strip()[:1]
+                    if p[j][3] or (inside is not None and kind_of != inside):  # a value has one kind of delimiter inside
                         break
+                    inside = kind_of
+                    if j - i >= MOST_JOINED:
+                        if not _ADDITION.fullmatch(p[j][2]):
+                            break
+                        if j + 1 < len(p) and not p[j + 1][3] and text[p[j][1] : p[j + 1][0]].strip()[:1] == inside and _ADDITION.fullmatch(p[j + 1][2]):
+                            continue  # beyond the cap a value takes all its additions
                     v = text[start : p[j][1]].strip()
                     spans.append({"i": i, "j": j + 1, "value": v, "form": form(v), "words": len(v.split()), "single": False, "quoted": False})
             out.append(spans)
@@ -182,7 +187,8 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, int], rounds: int =
     quotes, outer spaces and delimiters are dropped, doubled and escaped quotes made plain; case and
     repeats stay; blank pieces take no position. Null, blank and placeholder texts give no row. A
     row whose key is null keeps it. Equal texts are split once and alike. Empty tables give an
-    empty result; columns not named are not read. Texts may be of any length.
+    empty result; columns not named are not read. Texts may be of any length. Without quotes a value
+    is joined from at most MOST_JOINED pieces and all additions (Jr., Ph.D.) that follow the last one.
     """
     rows = None
     for f in fields:

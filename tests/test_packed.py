@@ -38,3 +38,10 @@ def test_people(spark):
 def test_long_and_empty(spark):
     assert len(values(spark, [",".join(["ab"] * 20000)])[0]) == 20000
     assert values(spark, []) == []
+
+
+def test_name_with_several_additions(spark):
+    rows = ["Lee, Ann; Ray, Bob", "Lee, Ann, Jr.; Ray, Bob", "Moe, Cy, Jr., Ph.D.; Ray, Bob", "Ray, Bob; Moe, Cy, Jr., Ph.D., Esq.", "Moe, Cy, Jr., Ph.D., (II)"] * 3
+    got = values(spark, rows, {"t": 2})
+    assert got[2] == ["Moe, Cy, Jr., Ph.D.", "Ray, Bob"] and got[3] == ["Ray, Bob", "Moe, Cy, Jr., Ph.D., Esq."] and got[4] == ["Moe, Cy, Jr., Ph.D., (II)"]
+    assert got[1] == ["Lee, Ann, Jr.", "Ray, Bob"]
