@@ -1,15 +1,17 @@
 """Most similar vectors for every vector, by an inverted multi-index.
 
 Each vector is cut into two halves, each half has its own small codebook, and the pair of nearest
-codewords is the vector's cell. A query visits cells in the order of summed codeword distance,
-taken from a heap, until it has seen enough cells and entries; the entries of the visited cells
-are reranked by exact distance.
-
-The codebooks are fitted on a bounded sample (`SAMPLE_ROWS`); every row is indexed. Equal vectors
-are one entry with a list of ids, so a vector that a third of all rows share costs one entry a
-partition. Entries are shuffled once, in compact lossless form, to the group of their first
-codeword; a group that the sample shows to be large is split by its second codeword, and a cell
-that is large by itself is cut into slices all of which its visitors see. No group is unbounded.
+codewords is the vector's cell. A query visits the occupied cells in the order of summed squared
+codeword distance, taken from a heap, until it has seen enough cells and entries; the entries of
+the visited cells are reranked by exact distance.
+
+The codebooks are fitted on a bounded sample (`SAMPLE_ROWS`); every row is indexed. The table of
+cells is exact: entries are filed first, cells are counted over all of them, and only then do
+queries travel, so no cell is unknown, however small. The table has at most MOST_CODES ** 2 counts
+of four bytes. Equal vectors of a batch are one entry with a list of ids, so a vector that a third
+of all rows share costs one entry a batch. Entries are shuffled once, in compact lossless form, to
+the group of their first codeword; a large group is split by its second codeword, and a cell that
+is large by itself is cut into slices all of which its visitors see. No group is unbounded.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .vectors import digests, exact_distances, pack, sound_rows, square_distances, unpack
 
 #: Rows the codebooks are fitted on, at most about this many.
@@ -35,24 +38,26 @@ GROUP_ROWS, SLICE_ROWS = 2000, 4000
 
 @dataclass(frozen=True)
 class Codebooks:
-    """Two codebooks of at most MOST_CODES codewords and the sampled occupancy of their cells, scaled to all rows."""
+    """Two codebooks of at most MOST_CODES codewords each."""
 
     dim: int
     first: np.ndarray
     second: np.ndarray
-    cells: np.ndarray  # (len(first), len(second)): estimated entries
 
     def distances(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of the halves of each row to the codewords of either book."""
         h = self.dim // 2
-        return np.sqrt(square_distances(m[:, :h], self.first)), np.sqrt(square_distances(m[:, h:], self.second))
+        return square_distances(m[:, :h], self.first), square_distances(m[:, h:], self.second)
 
-    def groups(self) -> np.ndarray:
-        """Into how many groups the entries of each first codeword are split."""
-        return np.maximum(1, np.ceil(self.cells.sum(1) / GROUP_ROWS).astype(int))
 
-    def slices(self) -> np.ndarray:
-        """Into how many slices each cell is cut."""
-        return np.maximum(1, np.ceil(self.cells / SLICE_ROWS).astype(int))
+def groups(cells: np.ndarray) -> np.ndarray:
+    """Into how many groups the entries of each first codeword are split."""
+    return np.maximum(1, np.ceil(cells.sum(1) / GROUP_ROWS).astype(int))
+
+
+def slices(cells: np.ndarray) -> np.ndarray:
+    """Into how many slices each cell is cut."""
+    return np.maximum(1, np.ceil(cells / SLICE_ROWS).astype(int))
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -71,13 +76,13 @@ def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
-def fit(df: DataFrame, key: str, vec: str, dim: int, rows: int | None = None, codes: int | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = 6) -> Codebooks | None:
-    """Codebooks from a sample of about `sample_rows` sound rows, chosen by a hash of the key; None if no vector is sound.
+def fit(df: DataFrame, key: str, vec: str, dim: int, rows: int | None = None, codes: int | None = None, sample_rows: int | None = None, rounds: int = 6) -> Codebooks | None:
+    """Codebooks from a sample of about `sample_rows` sound rows (SAMPLE_ROWS by default), chosen by a hash of the key; None if no vector is sound.
 
     `codes` defaults to a power of two near half the root of the row count, so that cells keep
     their size while the table grows, up to MOST_CODES.
     """
-    n = df.count() if rows is None else rows
+    n, sample_rows = df.count() if rows is None else rows, sample_rows or SAMPLE_ROWS
     x = df.select(key, vec)
     if n > sample_rows:
         x = x.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
@@ -91,11 +96,7 @@ def fit(df: DataFrame, key: str, vec: str, dim: int, rows: int | None = None, co
     k = max(1, min(k, MOST_CODES, len(m) // 2 or 1))
     rng = np.random.default_rng(7)
     h = dim // 2
-    c1, c2 = _lloyd(m[:, :h], k, rounds, rng), _lloyd(m[:, h:], k, rounds, rng)
-    a1, a2 = square_distances(m[:, :h], c1).argmin(1), square_distances(m[:, h:], c2).argmin(1)
-    cells = np.zeros((len(c1), len(c2)))
-    np.add.at(cells, (a1, a2), max(1.0, n / max(1, packed.num_rows)))
-    return Codebooks(dim, c1, c2, cells)
+    return Codebooks(dim, _lloyd(m[:, :h], k, rounds, rng), _lloyd(m[:, h:], k, rounds, rng))
 
 
 def _pack_all(dim: int):  # noqa: ANN202
@@ -107,54 +108,102 @@ def _pack_all(dim: int):  # noqa: ANN202
     return run
 
 
-def traverse(d1: list[float], d2: list[float], occupied: list[list[int]], sizes: list[list[float]], home: tuple[int, int], least_cells: int, least_entries: int) -> list[tuple[int, int]]:
-    """Cells of one query by increasing d1[i] + d2[j], from a heap.
+def traverse(d1: np.ndarray, d2: np.ndarray, cells: np.ndarray, home: tuple[int, int], least_cells: int, least_entries: int) -> list[tuple[int, int]]:
+    """Occupied cells of one query by increasing d1[i] + d2[j], from a heap.
 
-    First codewords are opened in the order of d1, each putting its `occupied` cells on the heap; a
-    cell is taken once no unopened codeword can be nearer. Goes on until `least_cells` cells and
-    `least_entries` estimated entries were visited. The query's own cell is always visited; others
-    that the sample shows empty are not: their few rows look out for their neighbours themselves.
+    The heap holds the next occupied cell of each opened first codeword; a further codeword is
+    opened once it may hold a nearer cell than the heap's top. Goes on until `least_cells` cells
+    and `least_entries` entries were visited, or no cell is left. The query's own cell comes first.
     """
-    order, nearest = sorted(range(len(d1)), key=d1.__getitem__), min(d2)
+    order, by_second = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
+    one, two, nearest = d1[order].tolist(), d2[by_second], float(d2[by_second[0]])
+    rows: list[tuple[list[int], list[float]]] = []
     heap: list[tuple[float, int, int]] = []
-    out, n, at = [home], sizes[home[0]][home[1]], 0
+    out, n = [home], int(cells[home])
     while len(out) < least_cells or n < least_entries:
-        while at < len(order) and (not heap or d1[order[at]] + nearest < heap[0][0]):
-            i = order[at]
-            for j in occupied[i]:
-                heapq.heappush(heap, (d1[i] + d2[j], i, j))
-            at += 1
+        while len(rows) < len(one) and (not heap or one[len(rows)] + nearest < heap[0][0]):
+            held = cells[order[len(rows)], by_second] > 0
+            rows.append((by_second[held].tolist(), two[held].tolist()))
+            if rows[-1][0]:
+                heapq.heappush(heap, (one[len(rows) - 1] + rows[-1][1][0], len(rows) - 1, 0))
         if not heap:
             break
-        _, i, j = heapq.heappop(heap)
-        if (i, j) != home:
-            out.append((i, j))
-            n += sizes[i][j]
+        _, r, at = heapq.heappop(heap)
+        seconds, far = rows[r]
+        if at + 1 < len(seconds):
+            heapq.heappush(heap, (one[r] + far[at + 1], r, at + 1))
+        cell = (int(order[r]), seconds[at])
+        if cell != home:
+            out.append(cell)
+            n += int(cells[cell])
     return out
 
 
-_ENTRY = "h binary, ids array<bigint>, askers array<bigint>, packed binary, places array<struct<grp:int,part:int,home:int,visits:array<int>>>"
+_ENTRY = "h binary, ids array<bigint>, askers array<bigint>, packed binary, c1 int, c2 int"
+_PLACE = "h binary, id bigint, asks boolean, packed binary, places array<struct<grp:int,part:int,home:int,visits:array<int>>>"
 
 
-def entries(df: DataFrame, key: Column, vec: str, books: Codebooks, asks: Column | None = None, least_cells: int = 4, least_entries: int = 0) -> DataFrame:
-    """One row for each distinct sound vector of each partition.
+def entries(df: DataFrame, key: Column, vec: str, books: Codebooks, asks: Column | None = None) -> DataFrame:
+    """One row for each distinct sound vector of each batch, with its cell (c1, c2), written to the checkpoint folder.
 
-    `ids` are its rows in the partition, `askers` those that are queries (all by default), `places`
-    the groups it goes to: with `home` its second codeword in its own group (-1 elsewhere, -2 and
-    below: slices of a large cell, see _place) and `visits` the second codewords it visits there.
+    `ids` are its rows in the batch, `askers` those that are queries (all by default).
     """
     x = df.select(key.cast("bigint").alias("id"), (F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))).alias("asks"), F.col(vec)).filter(F.col("id").isNotNull())
-    return x.mapInArrow(_index(books, least_cells, least_entries), _ENTRY)
+    return cut(x.mapInArrow(_file(books), _ENTRY))
+
+
+def _file(books: Codebooks):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, m = sound_rows(b.column(2), books.dim)
+            if not len(idx):
+                continue
+            keys, asks = b.column(0).to_numpy(zero_copy_only=False)[idx], b.column(1).to_numpy(zero_copy_only=False)[idx]
+            ids: dict[bytes, list[int]] = {}
+            asked: dict[bytes, list[int]] = {}
+            first = []
+            for i, (h, k, a) in enumerate(zip(digests(m), keys.tolist(), asks.tolist(), strict=True)):
+                if h not in ids:
+                    ids[h], asked[h] = [], []
+                    first.append(i)
+                ids[h].append(k)
+                if a:
+                    asked[h].append(k)
+            d1, d2 = books.distances(m[first])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(ids), pa.binary()), pa.array([sorted(x) for x in ids.values()], pa.list_(pa.int64())), pa.array([sorted(x) for x in asked.values()], pa.list_(pa.int64())),
+                    pa.array(pack(m[first]), pa.binary()), pa.array(d1.argmin(1).astype(np.int32)), pa.array(d2.argmin(1).astype(np.int32)),
+                ],
+                ["h", "ids", "askers", "packed", "c1", "c2"],
+            )
+
+    return run
+
 
+def count_cells(index: DataFrame, books: Codebooks) -> np.ndarray:
+    """(first, second) codewords: how many entries each cell holds, counted over all of them."""
+    cells = np.zeros((len(books.first), len(books.second)), np.int32)
+    told = index.groupBy("c1", "c2").agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow()  # a row an occupied cell, at most MOST_CODES ** 2
+    cells[told["c1"].to_numpy(), told["c2"].to_numpy()] = told["n"].to_numpy()
+    return cells
 
-def _place(groups: list[int], slices: list[list[int]], codes: int, home: tuple[int, int], visits: list[tuple[int, int]], salt: int) -> list[dict]:
+
+def place(index: DataFrame, books: Codebooks, cells: np.ndarray, least_cells: int, least_entries: int) -> DataFrame:
+    """(h, id, asks, packed, places): the groups each entry goes to, with `home` its second codeword in its own
+    group (-1 elsewhere) and `visits` the second codewords it visits there."""
+    x = index.select("h", F.array_min("ids").alias("id"), (F.size("askers") > 0).alias("asks"), "packed", "c1", "c2")
+    return x.mapInArrow(_travel(books, cells, least_cells, least_entries), _PLACE)
+
+
+def _place(groups: list[int], slices: np.ndarray, codes: int, home: tuple[int, int], visits: list[tuple[int, int]], salt: int) -> list[dict]:
     """Where an entry goes. A group is a first codeword, a part of it holds the second codewords c2
     with c2 % groups == part; slice s > 0 of a large cell is a part of its own, numbered on from the rest."""
     at: dict[tuple[int, int], dict] = {}
 
     def parts(c1: int, c2: int) -> list[int]:
         g = groups[c1]
-        return [c2 % g] + [g + c2 + codes * (s - 1) for s in range(1, slices[c1][c2])]
+        return [c2 % g] + [g + c2 + codes * (s - 1) for s in range(1, int(slices[c1, c2]))]
 
     def row(c1: int, part: int) -> dict:
         return at.setdefault((c1, part), {"grp": c1, "part": part, "home": -1, "visits": []})
@@ -167,37 +216,22 @@ def _place(groups: list[int], slices: list[list[int]], codes: int, home: tuple[i
     return list(at.values())
 
 
-def _index(books: Codebooks, least_cells: int, least_entries: int):  # noqa: ANN202
+def _travel(books: Codebooks, cells: np.ndarray, least_cells: int, least_entries: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, list[int]] = {}
-        asked: dict[bytes, list[int]] = {}
-        packed: dict[bytes, bytes] = {}
-        codes: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        parts, cuts = groups(cells).tolist(), slices(cells)
         for b in batches:
-            idx, m = sound_rows(b.column(2), books.dim)
-            keys, asks, hs = b.column(0).to_numpy(zero_copy_only=False)[idx], b.column(1).to_numpy(zero_copy_only=False)[idx], digests(m)
-            new = [i for i, h in enumerate(hs) if h not in ids and not ids.setdefault(h, [])]
-            if new:
-                d1, d2 = books.distances(m[new])
-                for i, z, x, y in zip(new, pack(m[new]), d1, d2, strict=True):
-                    packed[hs[i]], codes[hs[i]] = z, (x, y)
-            for h, k, a in zip(hs, keys, asks, strict=True):
-                ids[h].append(int(k))
-                if a:
-                    asked.setdefault(h, []).append(int(k))
-        occupied, sizes = [np.flatnonzero(r).tolist() for r in books.cells], books.cells.tolist()
-        groups, slices = books.groups().tolist(), books.slices().tolist()
-        out: list[tuple] = []
-        for h, own in ids.items():
-            d1, d2 = codes[h]
-            home = (int(d1.argmin()), int(d2.argmin()))
-            visits = traverse(d1.tolist(), d2.tolist(), occupied, sizes, home, least_cells, least_entries) if h in asked else []
-            out.append((h, sorted(own), sorted(asked.get(h, [])), packed[h], _place(groups, slices, len(books.second), home, visits, int.from_bytes(h[:4], "little"))))
-            if len(out) == 512:
-                yield _batch(out)
+            for lo in range(0, b.num_rows, 512):
+                x = b.slice(lo, 512)
+                asks = x.column(2).to_pylist()
+                asking = [i for i, a in enumerate(asks) if a]
+                at = {i: n for n, i in enumerate(asking)}
+                packed = x.column(3).take(pa.array(asking, pa.int64())).to_pylist()
+                d1, d2 = books.distances(unpack(packed, books.dim)) if asking else (None, None)
                 out = []
-        if out:
-            yield _batch(out)
+                for i, (h, c1, c2) in enumerate(zip(x.column(0).to_pylist(), x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)):
+                    visits = traverse(d1[at[i]], d2[at[i]], cells, (c1, c2), least_cells, least_entries) if i in at else []
+                    out.append(_place(parts, cuts, len(books.second), (c1, c2), visits, int.from_bytes(h[:4], "little")))
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), x.column(3), pa.array(out, _PLACES)], ["h", "id", "asks", "packed", "places"])
 
     return run
 
@@ -205,27 +239,25 @@ def _index(books: Codebooks, least_cells: int, least_entries: int):  # noqa: ANN
 _PLACES = pa.list_(pa.struct([("grp", pa.int32()), ("part", pa.int32()), ("home", pa.int32()), ("visits", pa.list_(pa.int32()))]))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    h, ids, asked, packed, places = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(asked, pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(places, _PLACES)], ["h", "ids", "askers", "packed", "places"])
-
-
-def links(index: DataFrame, books: Codebooks, k: int, max_distance: float | None = None, both_ways: bool = True, anchors: bool = False) -> DataFrame:
-    """(qid, eid, d): the nearest entries seen by each asking vector, every vector named by its least id.
+def links(placed: DataFrame, books: Codebooks, k: int, max_distance: float | None = None, both_ways: bool = True, anchors: bool = False) -> DataFrame:
+    """(qh, qid, eid, d): the nearest entries seen by each asking vector qh; entries are named by their least id.
 
     At least the k nearest of what was seen, with all ties of the k-th; further ones may appear.
     With `both_ways` a pair counts for either end that asks. Vectors equal to the asking one are
     left out: they are the same entry. With `anchors` each asking vector also keeps its link to the
     least id within `max_distance`, so that a large group stays one piece however near its k nearest are.
+    qid is the least id of the asking rows of qh (of all its rows, where all ask).
     """
-    x = index.select("h", F.array_min("ids").alias("id"), (F.size("askers") > 0).alias("asks"), "packed", F.explode("places").alias("p"))
+    x = placed.select("h", "id", "asks", "packed", F.explode("places").alias("p"))
     x = x.select("h", "id", "asks", "packed", "p.grp", "p.part", "p.home", "p.visits")
-    near = x.groupBy("grp", "part").applyInArrow(_rerank(books.dim, k, max_distance, both_ways, anchors), "qid bigint, eid bigint, d double")
-    w = Window.partitionBy("qid").orderBy("d", "eid")
-    near = near.groupBy("qid", "eid").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(w))
+    near = x.groupBy("grp", "part").applyInArrow(_rerank(books.dim, k, max_distance, both_ways, anchors), "qh binary, qid bigint, eid bigint, d double")
+    w = Window.partitionBy("qh").orderBy("d", "eid")
+    near = near.groupBy("qh", "eid").agg(F.min("d").alias("d"), F.min("qid").alias("qid")).withColumn("r", F.row_number().over(w))
     if anchors:
-        return near.withColumn("anchor", F.min("eid").over(Window.partitionBy("qid"))).filter((F.col("r") <= k) | (F.col("eid") == F.col("anchor"))).drop("r", "anchor")
-    return near.filter(F.col("r") <= k).drop("r")
+        near = near.withColumn("anchor", F.min("eid").over(Window.partitionBy("qh"))).filter((F.col("r") <= k) | (F.col("eid") == F.col("anchor")))
+    else:
+        near = near.filter(F.col("r") <= k)
+    return near.select("qh", "qid", "eid", "d")
 
 
 def _rerank(dim: int, k: int, limit: float | None, both_ways: bool, anchors: bool):  # noqa: ANN202
@@ -291,7 +323,8 @@ def _rerank(dim: int, k: int, limit: float | None, both_ways: bool, anchors: boo
         if anchors and len(q):
             starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             keep |= names[e] == np.repeat(np.minimum.reduceat(names[e], starts), np.diff(np.append(starts, len(q))))
-        return pa.table({"qid": names[q[keep]], "eid": names[e[keep]], "d": d[keep]})
+        digest = pa.array([hs[i] for i in first], pa.binary())
+        return pa.table({"qh": digest.take(pa.array(q[keep])), "qid": names[q[keep]], "eid": names[e[keep]], "d": d[keep]})
 
     return run
 
@@ -307,41 +340,49 @@ def neighbours(index: DataFrame, near: DataFrame, k: int, salts: int = 16) -> Da
         F.sum(F.size("ids")).alias("m"), F.min(F.array_min("ids")).alias("cid"), F.slice(F.array_sort(F.flatten(F.collect_list(F.slice("ids", 1, k + 1)))), 1, k + 1).alias("first")
     )
     shared = least.filter("m > 1")
-    asking = index.filter(F.size("askers") > 0).select("h", F.explode("askers").alias("query_id"))
+    asking = index.filter(F.size("askers") > 0).select("h", F.explode("askers").alias("query_id")).withColumn("salt", F.pmod("query_id", F.lit(salts)))
+    spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    asking = asking.join(spread, ["h", "salt"], "left")
     own = (
-        asking.withColumn("salt", F.pmod("query_id", F.lit(salts)))
-        .join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["h", "salt"])
+        asking.filter("m > 1")
         .select("query_id", F.posexplode(F.slice(F.filter("first", lambda i: i != F.col("query_id")), 1, k)).alias("r", "id"))
         .select("query_id", "id", F.lit(0.0).alias("distance"), (F.col("r") + 1).alias("rank"))
     )
-    copies = shared.select("cid", "m", "first")
-    far = near.join(copies.withColumnRenamed("cid", "qid"), "qid", "left").withColumn("room", k + 1 - F.coalesce("m", F.lit(1))).filter("room > 0").select("qid", "eid", "d", "room")
+    far = near.join(shared.select(F.col("h").alias("qh"), "m"), "qh", "left").withColumn("room", k + 1 - F.coalesce("m", F.lit(1))).filter("room > 0").select("qh", "eid", "d", "room")
     members = F.coalesce("first", F.array("eid"))
-    far = far.join(copies.withColumnRenamed("cid", "eid"), "eid", "left").select("qid", "d", "room", F.explode(members).alias("id"))
-    far = far.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).filter("r <= room")
-    askers = index.groupBy("h").agg(F.min(F.array_min("ids")).alias("qid"), F.flatten(F.collect_list(F.slice("askers", 1, k + 1))).alias("qs")).select("qid", F.explode("qs").alias("query_id"))
-    far = far.join(askers, "qid").select("query_id", "id", F.col("d").alias("distance"), (k - F.col("room") + F.col("r")).alias("rank"))
+    far = far.join(shared.select(F.col("cid").alias("eid"), "first"), "eid", "left").select("qh", "d", "room", F.explode(members).alias("id"))
+    far = far.withColumn("r", F.row_number().over(Window.partitionBy("qh").orderBy("d", "id"))).filter("r <= room")
+    few = asking.filter(F.coalesce("m", F.lit(1)) <= k).select(F.col("h").alias("qh"), "query_id")  # vectors of more rows have no room left
+    far = far.join(few, "qh").select("query_id", "id", F.col("d").alias("distance"), (k - F.col("room") + F.col("r")).alias("rank"))
     return own.unionByName(far)
 
 
-def similar_rows(df: DataFrame, key: str, vec: str, dim: int, k: int, max_distance: float | None = None, asks: Column | None = None, least_cells: int = 4, least_share: float = 0.0) -> DataFrame:
+def similar_rows(df: DataFrame, key: str, vec: str, dim: int, k: int, max_distance: float | None = None, asks: Column | None = None, least_cells: int = 4, least_entries: int = 0, least_share: float = 0.0) -> DataFrame:
     """The k most similar other rows of every asking row by L2 distance: (query_id, id, distance, rank).
 
     Rows whose vector is null, of another length, all zero or holds null, NaN or infinity neither
     ask nor answer; a null key leaves the row out. Ties go to the smaller id; repeated vectors are
     neighbours at distance 0. `asks` selects the asking rows (default all). `max_distance` drops
-    farther ones. Approximate: a query visits at least `least_cells` cells and `least_share` of all
-    entries. Empty tables give an empty result; other columns are not read.
+    farther ones. Approximate: a query visits at least `least_cells` cells, `least_entries` entries and
+    `least_share` of all entries. Empty tables give an empty result; other columns are not read.
     """
-    rows = df.count()
-    books = fit(df, key, vec, dim, rows)
+    index, books, placed = build(df, key, vec, dim, asks, least_cells, least_entries, least_share)
     if books is None:
         return df.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance double, rank bigint")
-    index = entries(df, F.col(key), vec, books, asks, least_cells, int(least_share * rows)).persist()
-    near = links(index, books, k, max_distance, both_ways=asks is None)
+    near = links(placed, books, k, max_distance, both_ways=asks is None)
     return neighbours(index, near, k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def build(df: DataFrame, key: str, vec: str, dim: int, asks: Column | None = None, least_cells: int = 4, least_entries: int = 0, least_share: float = 0.0) -> tuple[DataFrame | None, Codebooks | None, DataFrame | None]:
+    """The filed entries, the codebooks and the placed entries; all None if no vector is sound."""
+    books = fit(df, key, vec, dim)
+    if books is None:
+        return None, None, None
+    index = entries(df, F.col(key), vec, books, asks)
+    cells = count_cells(index, books)
+    return index, books, place(index, books, cells, least_cells, max(least_entries, int(least_share * cells.sum())))
+
+
 def close_pairs(df: DataFrame, key: str, vec: str, dim: int, k: int, max_distance: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs within `max_distance` of which one is among the k nearest of the other."""
     n = similar_rows(df, key, vec, dim, k, max_distance)

@@ -182,7 +182,7 @@ def merge_rounds(states: DataFrame, links: DataFrame, dim: int, threshold: float
             states = cut(states.join(part.select("c"), "c", "left_anti"))
             links = cut(links.join(part.select(F.col("c").alias("a")), "a", "left_anti"))
         both = links.select(F.col("a").alias("x"), "a", "b", "d2").unionByName(links.select(F.col("b").alias("x"), "a", "b", "d2"))
-        best = both.groupBy("x").agg(F.min(F.struct("d2", F.xxhash64("a", "b", F.lit(r)).alias("h"), "a", "b")).alias("p"))
+        best = both.groupBy("x").agg(F.min(F.struct("d2", _order_sql("a", "b", r).alias("h"), "a", "b")).alias("p"))
         pairs = cut(best.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2").select("a", "b"))
         if pairs.isEmpty():
             break
@@ -226,10 +226,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Multipliers of the order of equal links, small enough that no product leaves 64 bits.
+_P, _X, _Y, _Z = 2147483647, 1103515245, 1566083941, 1812433253
+
+
 def _order(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
-    """A scrambled number for each pair of ids."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(r)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    """A scrambled number below 2**31 for each pair of ids in round r; `_order_sql` gives the same in Spark."""
+    x = (a.astype(np.int64) % _P * _X + b.astype(np.int64) % _P) % _P
+    x = (x * _Y + r) % _P
+    return (x ^ (x >> 15)) * _Z % _P
+
+
+def _order_sql(a: str, b: str, r: int) -> Column:
+    p = F.lit(_P).cast("bigint")
+    x = F.pmod(F.pmod(F.col(a), p) * F.lit(_X).cast("bigint") + F.pmod(F.col(b), p), p)
+    x = F.pmod(x * F.lit(_Y).cast("bigint") + F.lit(r).cast("bigint"), p)
+    return F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(_Z).cast("bigint"), p)
 
 
 def agglomerate(ids: np.ndarray, n: np.ndarray, sq: np.ndarray, total: np.ndarray, a: np.ndarray, b: np.ndarray, d2: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +249,7 @@ def agglomerate(ids: np.ndarray, n: np.ndarray, sq: np.ndarray, total: np.ndarra
     n, sq, total, into = n.astype(np.int64).copy(), sq.copy(), total.copy(), np.arange(len(ids))
     most, r = threshold * threshold + 1e-6, 0
     while len(a):
-        o = np.lexsort((_order(ids[a], ids[b], r), d2))
+        o = np.lexsort((ids[b], ids[a], _order(ids[a], ids[b], r), d2))
         a, b, d2, r = a[o], b[o], d2[o], r + 1
         best = np.full(len(ids), len(a))
         np.minimum.at(best, a, np.arange(len(a)))
@@ -317,12 +329,11 @@ def clusters(df: DataFrame, key: str, vec: str, dim: int, threshold: float, k: i
     Equal vectors always share a cluster. Empty tables give empty results; other columns are not read.
     """
     spark = df.sparkSession
-    books = ix.fit(df, key, vec, dim)
+    index, books, placed = ix.build(df, key, vec, dim, None, least_cells)
     if books is None:
         empty = spark.createDataFrame([], "id bigint, cluster_id bigint")
         return empty, spark.createDataFrame([], _STATE), spark.createDataFrame([], ix._ENTRY)
-    index = ix.entries(df, F.col(key), vec, books, None, least_cells).persist()
-    near = ix.links(index, books, k, threshold, anchors=True)
+    near = ix.links(placed, books, k, threshold, anchors=True)
     links = cut(near.select(F.least("qid", "eid").alias("a"), F.greatest("qid", "eid").alias("b"), (F.col("d") * F.col("d")).alias("d2")).groupBy("a", "b").agg(F.min("d2").alias("d2")))
     named = index.groupBy("h").agg(F.min(F.array_min("ids")).alias("c"), F.sum(F.size("ids")).alias("n"), F.first("packed").alias("packed"))
     members, final = link_clusters(named.select("c", "n", "packed"), links, dim, threshold)

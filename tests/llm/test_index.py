@@ -65,6 +65,52 @@ def test_large_cells_are_cut_without_loss(spark, table, monkeypatch):
     assert got == brute(ids, m, 5)
 
 
+def test_no_cell_is_lost_however_small_the_sample(spark, table, monkeypatch):
+    """Codebooks of a few rows, queries that are a part of the rows: every cell is known and can be visited."""
+    df, ids, m = table
+    monkeypatch.setattr(ix, "SAMPLE_ROWS", 30)
+    want = {p for p in brute(ids, m, 5) if p[0] % 5 == 0}
+    ask = {"asks": F.col("id") % 5 == 0}
+    books = ix.fit(df, "id", "v", DIM)
+    assert len(books.first) < 20
+    got = {(r.query_id, r.id) for r in ix.similar_rows(df, "id", "v", DIM, 5, least_cells=10**6, **ask).collect()}
+    assert got == want
+
+
+def test_cells_come_in_order(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        d1, d2, cells = rng.random(9), rng.random(7), rng.integers(0, 3, (9, 7)) * (rng.random((9, 7)) < 0.4)
+        cells[3, 2] = 1
+        full = [(d1[i] + d2[j], (i, j)) for i, j in zip(*np.nonzero(cells), strict=True) if (i, j) != (3, 2)]
+        got = ix.traverse(d1, d2, cells, (3, 2), 10**6, 0)
+        assert got == [(3, 2)] + [c for _, c in sorted(full)]
+        assert ix.traverse(d1, d2, cells, (3, 2), 4, 0) == got[:4]
+
+
+def test_equal_links_have_one_order(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(-(2**62), 2**62, 200), rng.integers(0, 2**40, 200)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a bigint, b bigint")
+    for r in (0, 3, 1000):
+        assert [x.h for x in df.select(lk._order_sql("a", "b", r).alias("h")).collect()] == lk._order(a, b, r).tolist()
+
+
+def test_crowds_of_ties_merge_alike_in_a_task_and_over_dataframes(spark, monkeypatch):
+    """A ring of equal steps: only the order of equal links decides who pairs with whom."""
+    turn = np.arange(7) * 2 * np.pi / 7
+    m = np.stack([np.cos(turn), np.sin(turn)], 1).astype(np.float32)
+    nodes = spark.createDataFrame([(i, 1, p) for i, p in enumerate(pack(m))], "c bigint, n bigint, packed binary")
+    links = spark.createDataFrame([(min(a, b), max(a, b), 0.75) for a in range(7) for b in [(a + 1) % 7]], "a bigint, b bigint, d2 double")
+    got = []
+    for local in (2000, 1):
+        monkeypatch.setattr(lk, "LOCAL_NODES", local)
+        monkeypatch.setattr(lk, "crowds", lambda states, labels, dim, threshold: states.limit(0))  # else the ring is one cluster at once
+        members, _ = lk.link_clusters(nodes, links, 2, 0.9)
+        got.append({r.member: r.cluster for r in members.collect()})
+    assert got[0] == got[1] and 1 < len(set(got[0].values())) < 7
+
+
 def test_empty_and_broken(spark, table):
     df = table[0]
     assert ix.similar_rows(df.limit(0), "id", "v", DIM, 5).count() == 0
