@@ -22,6 +22,7 @@ def eager_join_aggregate(
     sums: dict[str, Column] | None = None,
     least: dict[str, Column] | None = None,
     greatest: dict[str, Column] | None = None,
+    right_sums: dict[str, Column] | None = None,
     right_least: dict[str, Column] | None = None,
     right_greatest: dict[str, Column] | None = None,
     how: str = "left",
@@ -29,9 +30,10 @@ def eager_join_aggregate(
 ) -> DataFrame:
     """One row for each key of `left ⨝ right on left_key = right_key`.
 
-    Columns: `key`, `left_rows` (rows of the left table), `joined_rows` (rows the full join would
-    have), then the named figures over the joined rows. `how` is "inner" or "left"; under "left" a
-    key without a partner counts once, as an outer join would.
+    Columns: `key`, `left_rows` and `right_rows` (rows of either table), `joined_rows` (rows the full
+    join would have), then the named figures over the joined rows. `how` is "inner" or "left"; under
+    "left" a key without a partner counts once, as an outer join would. A sum of the left side is
+    multiplied by the rows of the right, one of the right side by the rows of the left.
 
     Nulls: a null key joins nothing and gives no row, like SQL equality; null values are skipped by
     sums, least and greatest, and a figure without any value is null. NaN is a value (greatest of all).
@@ -39,20 +41,22 @@ def eager_join_aggregate(
     expressions are read, so other columns may clash freely.
     """
     sums, least, greatest = sums or {}, least or {}, greatest or {}
-    right_least, right_greatest = right_least or {}, right_greatest or {}
+    right_sums, right_least, right_greatest = right_sums or {}, right_least or {}, right_greatest or {}
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     lk = left.select(left_key.alias(key), *[c.alias(f"__s_{n}") for n, c in sums.items()], *[c.alias(f"__a_{n}") for n, c in least.items()], *[c.alias(f"__z_{n}") for n, c in greatest.items()]).filter(F.col(key).isNotNull())
-    rk = right.select(right_key.alias(key), *[c.alias(f"__ra_{n}") for n, c in right_least.items()], *[c.alias(f"__rz_{n}") for n, c in right_greatest.items()]).filter(F.col(key).isNotNull())
+    rk = right.select(right_key.alias(key), *[c.alias(f"__rs_{n}") for n, c in right_sums.items()], *[c.alias(f"__ra_{n}") for n, c in right_least.items()], *[c.alias(f"__rz_{n}") for n, c in right_greatest.items()]).filter(F.col(key).isNotNull())
     ls = lk.groupBy(key).agg(F.count(F.lit(1)).alias(L), *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums], *[F.min(f"__a_{n}").alias(n) for n in least], *[F.max(f"__z_{n}").alias(n) for n in greatest])
-    rs = rk.groupBy(key).agg(F.count(F.lit(1)).alias(R), *[F.min(f"__ra_{n}").alias(n) for n in right_least], *[F.max(f"__rz_{n}").alias(n) for n in right_greatest])
+    rs = rk.groupBy(key).agg(F.count(F.lit(1)).alias(R), *[F.sum(f"__rs_{n}").alias(f"__rs_{n}") for n in right_sums], *[F.min(f"__ra_{n}").alias(n) for n in right_least], *[F.max(f"__rz_{n}").alias(n) for n in right_greatest])
     j = ls.join(rs, key, how)
     times = F.coalesce(F.col(R), F.lit(1))
     return j.select(
         key,
         F.col(L).alias("left_rows"),
+        F.coalesce(F.col(R), F.lit(0)).alias("right_rows"),
         (F.col(L) * times).alias("joined_rows"),
         *[(F.col(f"__s_{n}") * times).alias(n) for n in sums],
+        *[(F.col(f"__rs_{n}") * F.col(L)).alias(n) for n in right_sums],
         *[F.col(n) for n in (*least, *greatest, *right_least, *right_greatest)],
     )
 
@@ -69,6 +73,11 @@ def roll_up(states: DataFrame, by: list[Column], sums: list[str] = (), least: li
     )
 
 
-def heavy_keys(states: DataFrame, all_rows: DataFrame, share: float, key: str = "key") -> DataFrame:
-    """The keys whose `left_rows` are at least `share` of the rows of `all_rows` (null keys count in the total)."""
-    return states.filter(F.col("left_rows") >= all_rows.count() * share).select(key, "left_rows")
+def heavy_keys(states: DataFrame, share: float, total: DataFrame, key: str = "key") -> DataFrame:
+    """The keys whose joined rows come from at least `share` of the left rows: (key, left_rows).
+
+    `left_rows` is taken from the join: joined_rows divided by the rows the key has on the right
+    (one, where it has none). `total` is a frame of one row with the column `all_rows` (null keys count in it).
+    """
+    rows = F.col("joined_rows") / F.greatest(F.col("right_rows"), F.lit(1))
+    return states.select(key, rows.cast("bigint").alias("left_rows")).filter(F.col("left_rows") >= total.select("all_rows").scalar() * share)
