@@ -100,8 +100,22 @@ def test_truncation(spark):
 def test_copies_that_go_on(spark):
     long = " ".join(SENTENCES[:3])
     texts = [(1, long), (2, long[:-20]), (3, SENTENCES[0] + " " + SENTENCES[1]), (4, "short"), (5, long.upper())]
-    got = {r.id for r in tr.cut_copies(spark.createDataFrame(texts, "id bigint, text string")).collect()}
-    assert 2 in got and not got & {1, 3, 4, 5}
+    texts += [(6, long[:50]), (7, SENTENCES[0] + " " + SENTENCES[1] + " And then")]  # little left; no copy
+    assert cut_ids(spark, texts) == {2, 6}
+
+
+def cut_ids(spark, texts):
+    df = spark.createDataFrame([(str(i).encode(), "s", t) for i, t in texts], "id binary, source string, text string")
+    return {int(bytes(r.id)) for r in tr.cut_copies(tr.read_all(df)).collect()}
+
+
+def test_beginnings_are_hashed_in_one_pass():
+    rng = np.random.default_rng(4)
+    low = rng.integers(1, 9, 40)
+    start = np.repeat([0, 15, 16], [15, 1, 24])
+    h = tr._beginnings(low, start)
+    same = tr._beginnings(low[16:30], np.zeros(14, int))
+    assert (h[16:30] == same).all() and len(set(h.tolist())) == 40
 
 
 def test_edited_copies_that_go_on(spark):
@@ -112,7 +126,7 @@ def test_edited_copies_that_go_on(spark):
     late = " ".join(words[:-3] + ["zebra"] + words[-2:])
     other = " ".join(reversed(words))
     rows = list(enumerate([long, swapped, less, more, late, other]))
-    assert {r.id for r in tr.cut_copies(spark.createDataFrame(rows, "id bigint, text string")).collect()} == {1, 2, 3, 4}
+    assert cut_ids(spark, rows) == {1, 2, 3, 4}
 
 
 def test_edits():
