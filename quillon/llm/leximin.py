@@ -18,6 +18,8 @@ from ..operators.ranks import count_better, running_total
 from ..session import cut
 from .vectors import sound_rows
 
+#: Rows of equal leading levels that one task may order.
+CROWD_ROWS = 100_000
 #: Query vectors held by a task at once; more queries are worked off in blocks of this many.
 QUERY_BLOCK = 256
 
@@ -39,16 +41,31 @@ def leximin(df: DataFrame, group: list[str], key: list[str], better: list[str],
     """Order the items of each group: adds `levels` (percentiles ascending) and `position` (from 1).
 
     The greatest array comes first; equal arrays are ordered by `key`, so the order is total and
-    repeatable. Positions come from counts per distinct array, not from one big sort.
+    repeatable. Positions come from counts per level, not from one big sort: the weakest level places
+    a row, up to CROWD_ROWS rows that share it are ordered by a window, and larger crowds are placed by
+    the next level, at last by the key. Only rows of one array and one first key stay together.
     """
     levels = F.array_sort(F.array(*[F.lit(1.0) - F.col(b) / total for b in better]))
-    x = df.withColumn("levels", levels)
-    # the first two levels place the array in a bucket; equal first levels never straddle one
-    first = x.groupBy(*group, (-F.col("levels")[0]).alias("__f")).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running_total(first, group, "__f", "__n", "__ahead").drop("__n")
-    y = x.withColumn("__f", -F.col("levels")[0]).join(placed, [*group, "__f"])
-    w = _window([*group, "__f"], [F.col("levels").desc(), *[F.col(k) for k in key]])
-    return y.withColumn("position", F.col("__ahead") + F.row_number().over(w)).drop("__f", "__ahead")
+    rest = cut(df.withColumn("levels", levels)).withColumn("__ahead", F.lit(0).cast("bigint"))
+    keep, by, out = [c for c in rest.columns if c != "__ahead"], list(group), None
+    for i in range(len(better) + 1):  # level by level, and at last by key; only what is still crowded goes on
+        step = f"__l{i}"
+        rest = rest.withColumn(step, -F.col("levels")[i] if i < len(better) else F.col(key[0]))
+        sizes = rest.groupBy(*by, step).agg(F.count(F.lit(1)).alias("__n"))
+        placed = running_total(sizes, by, step, "__n", "__before")
+        rest = rest.join(placed, [*by, step]).withColumn("__ahead", F.col("__ahead") + F.col("__before")).drop("__before")
+        by = [*by, step]
+        w = _window(by, [F.col("levels").desc(), *[F.col(k) for k in key]])
+        few = rest if i == len(better) else rest.filter(F.col("__n") <= CROWD_ROWS)
+        few = few.withColumn("position", F.col("__ahead") + F.row_number().over(w)).select(*keep, "position")
+        out = few if out is None else out.unionByName(few)
+        if i == len(better):
+            return out
+        crowded = sizes.filter(F.col("__n") > CROWD_ROWS)
+        if crowded.isEmpty():
+            return out
+        rest = cut(rest.filter(F.col("__n") > CROWD_ROWS).drop("__n"))
+    return out
 
 
 def _window(by: list[str], order: list[Column]):  # noqa: ANN202

@@ -18,11 +18,12 @@ import heapq
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -31,6 +32,8 @@ from ..session import cut
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lists of the literal rank map; bytes from which a word is merged with a heap.
 LISTS, LONG_WORD = 8192, 400
+#: Salts of a word that many texts hold.
+SALTS = 8
 #: Characters of a plan description.
 PLAN_STRING = 50_000
 _NONE = 2**31 - 1
@@ -151,30 +154,58 @@ def encode_words(distinct: DataFrame, v: Vocabulary) -> DataFrame:
     return short.unionByName(distinct.filter(F.length("word") > 2 * LONG_WORD).select("word").mapInArrow(_long(v.ranks), "word string, ids array<int>"))
 
 
+@contextmanager
+def _short_plans(spark: SparkSession) -> Iterator[None]:
+    """Plan descriptions are shortened while jobs run that carry the rank map: each would repeat it in the driver's memory."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    if before.startswith("21474836"):  # the default, no limit
+        spark.conf.set(name, f"{PLAN_STRING}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _cut_words(df: DataFrame, key: str, text: str, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """(key, __h, __k, __r) of every row: the ids of its words that are pieces (null for others) and the
+    others with their places; and (word, ids) of all distinct others. The rank map is in neither plan.
+
+    Texts are read and cut into words once; both tables are in the checkpoint folder.
+    """
+    with _short_plans(df.sparkSession):
+        src = df.select(F.col(key), F.xxhash64(text).alias("__h"), F.transform(words(F.col(text), v), lambda w: F.hex(F.encode(w, "utf-8"))).alias("__w"))
+        src = src.select(key, "__h", "__w", v.with_ranks(lambda rank: F.transform("__w", rank)).alias("__k"))
+        rare = F.filter(F.transform("__w", lambda w, i: F.when(F.isnull(F.get(F.col("__k"), i)), F.struct(i.alias("i"), w.alias("word")))), lambda x: x.isNotNull())
+        src = cut(src.select(key, "__h", "__k", rare.alias("__r")))
+        distinct = src.select(F.explode(F.transform("__r", lambda x: x["word"])).alias("word")).distinct()  # counted map-side, so that a frequent word costs a row a task
+        return src, cut(encode_words(distinct, v))
+
+
+def _rare(src: DataFrame, done: DataFrame, key: str, value: Column) -> DataFrame:
+    """(key, __h, i, value): what `value` makes of the ids of each word that is no piece. Words are met with
+    their salted ids, so that no task gets all places of a frequent one."""
+    places = src.select(key, "__h", F.explode("__r").alias("p")).select(key, "__h", "p.i", "p.word").distinct().withColumn("salt", F.pmod(F.col("__h"), F.lit(SALTS)))
+    met = done.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return places.join(met, ["word", "salt"]).select(key, "__h", "i", value.alias("value"))
+
+
 def encode(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
     """(key, ids): every text as its list of token ids, without special tokens.
 
     An empty and a null text both give an empty list. Rows keep their number and their key, null or
     repeated keys included; texts may be of any length and are read whole. An empty table gives an
-    empty result; other columns are not read. Plan descriptions of the session are shortened from
-    here on (spark.sql.maxPlanStringLength, where it is not set): each would repeat the rank map, a megabyte, in the
-    driver's memory.
+    empty result; other columns are not read.
     """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.maxPlanStringLength").startswith("21474836"):  # the default, no limit
-        conf.set("spark.sql.maxPlanStringLength", f"{PLAN_STRING}b")
-    src = df.select(F.col(key), F.col(text).alias("__text"))
-    src = src.withColumn("__h", F.xxhash64("__text")).withColumn("__w", F.transform(words(F.col("__text"), v), lambda w: F.hex(F.encode(w, "utf-8")))).drop("__text")
-    src = src.withColumn("__k", v.with_ranks(lambda rank: F.transform("__w", rank)))
-    places = src.select(key, "__h", F.explode(F.filter(F.transform("__w", lambda w, i: F.when(F.isnull(F.get(F.col("__k"), i)), F.struct(i.alias("i"), w.alias("word")))), lambda x: x.isNotNull())).alias("p"))
-    rare = cut(places.select(key, "__h", "p.i", "p.word").distinct())
-    done = encode_words(rare.select("word").distinct(), v)
-    back = rare.join(done, "word").groupBy(key, "__h").agg(F.collect_list(F.struct("i", "ids")).alias("__rare"))
-    x, y = src.alias("x"), back.alias("y")
-    j = x.join(y, F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & (F.col("x.__h") == F.col("y.__h")), "left")
+    src, done = _cut_words(df, key, text, v)
+    back = _rare(src, done, key, F.col("ids")).groupBy(key, "__h").agg(F.collect_list(F.struct("i", F.col("value").alias("ids"))).alias("__rare"))
     known = F.filter(F.transform("x.__k", lambda r, i: F.when(r.isNotNull(), F.struct(i.alias("i"), F.array(r).alias("ids")))), lambda s: s.isNotNull())
     every = F.array_sort(F.concat(known, F.coalesce("y.__rare", F.array().cast("array<struct<i:int,ids:array<int>>>"))))
-    return j.select(F.col(f"x.{key}").alias(key), F.flatten(F.transform(every, lambda s: s["ids"])).alias("ids"))
+    return _with(src, back, key).select(F.col(f"x.{key}").alias(key), F.flatten(F.transform(every, lambda s: s["ids"])).alias("ids"))
+
+
+def _with(src: DataFrame, back: DataFrame, key: str) -> DataFrame:
+    return src.alias("x").join(back.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & (F.col("x.__h") == F.col("y.__h")), "left")
 
 
 def decode(ids: Column, v: Vocabulary) -> Column:
@@ -184,5 +215,8 @@ def decode(ids: Column, v: Vocabulary) -> Column:
 
 
 def token_counts(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
-    """(key, tokens): the number of tokens of every text."""
-    return encode(df, key, text, v).select(key, F.size("ids").alias("tokens"))
+    """(key, tokens): the number of tokens of every text; see `encode`. No list of ids is formed."""
+    src, done = _cut_words(df, key, text, v)
+    more = _rare(src, done.select("word", F.size("ids").alias("n")), key, F.col("n")).groupBy(key, "__h").agg(F.sum("value").alias("more"))
+    known = F.size(F.filter("x.__k", lambda r: r.isNotNull()))
+    return _with(src, more, key).select(F.col(f"x.{key}").alias(key), (known + F.coalesce("y.more", F.lit(0))).cast("int").alias("tokens"))

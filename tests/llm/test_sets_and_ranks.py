@@ -85,10 +85,13 @@ def test_latest_of_a_pair(spark):
     assert [(r.id2, r.dis) for r in topn.least_partners(df, 5).orderBy("rank").collect()] == [(3, 0.7), (6, 0.7), (2, 0.9)]
 
 
-def test_leximin(spark):
+@pytest.mark.parametrize("crowd", [100_000, 1])
+def test_leximin(spark, crowd, monkeypatch):
+    monkeypatch.setattr(lx, "CROWD_ROWS", crowd)
     rng = np.random.default_rng(6)
     dim, n = 4, 60
     rows = [(i, float(rng.integers(0, 11)), int(10 ** rng.integers(0, 6)), [float(x) for x in rng.integers(-4, 5, dim)], "x") for i in range(n)]
+    rows += [(n + i, *rows[i % 3][1:]) for i in range(12)]  # repeated films
     bad = [(100, None, 5, [1.0] * dim, ""), (101, 11.0, 5, [1.0] * dim, ""), (102, 5.0, -1, [1.0] * dim, ""), (103, 5.0, 5, None, ""), (104, 5.0, 5, [0.0] * dim, ""), (105, float("nan"), 5, [1.0] * dim, "")]
     films = spark.createDataFrame(rows + bad, "id bigint, rating double, num_votes bigint, plot_emb array<float>, n string")
     queries = spark.createDataFrame([(q, 5, [float(x) for x in rng.integers(-4, 5, dim)]) for q in (1, 2)], "query_id bigint, k int, query_emb array<float>")
