@@ -306,35 +306,140 @@ def score(vec: Column, query: list[float], metric: str = "l2") -> Column:
 # aggregates
 
 
-def vec_aggregate(df: DataFrame, keys: list[str], vec: str, out: str, how: str = "avg") -> DataFrame:
-    """Element-wise average ("avg", in double) or sum ("sum") of the vectors of each group, as array<float>.
+#: Groups whose running sums a task holds; beyond that they are handed on.
+HELD_GROUPS, SALTS = 2048, 16
 
-    Partial sums are taken map-side per element; null vectors are skipped, a group without vectors
-    gives null, vectors of several lengths in a group raise an error.
-    """
-    x = df.select(*keys, F.posexplode_outer(vec).alias("__p", "__x"))
-    agg = F.avg(F.col("__x").cast("double")) if how == "avg" else F.sum(F.col("__x").cast("double"))
-    each = x.groupBy(*keys, "__p").agg(agg.alias("__v"), F.count("__x").alias("__n"))
-    kept = F.filter(F.array_sort(F.collect_list(F.struct("__p", "__v", "__n"))), lambda s: s["__p"].isNotNull())
-    done = each.groupBy(*keys).agg(kept.alias("__a"))
-    values = F.transform("__a", lambda s: s["__v"].cast("float"))
-    ragged = F.array_min(F.transform("__a", lambda s: s["__n"])) != F.array_max(F.transform("__a", lambda s: s["__n"]))
-    return done.select(*keys, F.when(F.size("__a") == 0, None).when(ragged, F.raise_error(F.lit("different vector dimensions"))).otherwise(values).alias(out))
 
+def vec_aggregate(df: DataFrame, keys: list[str], vec: str, out: str, how: str = "avg", half: bool = False) -> DataFrame:
+    """Element-wise average ("avg") or sum ("sum") of the vectors of each group, in double, as array<float>.
 
+    Sums are taken from Arrow batches in each task, merged over salts, then over groups, so that no
+    element becomes a row and no group is held by one task. Null vectors are skipped, a group without
+    vectors gives null, vectors of several lengths in a group raise an error. With `half` the result
+    is rounded to 16-bit floats; beyond 65504 is an error.
+    """
+    if how not in ("avg", "sum"):
+        raise ValueError("how must be avg or sum")
+    groups = df.select(*keys, F.col(vec).alias("__v")).withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    kind = groups.schema["__k"].dataType.simpleString()
+    part = groups.select("__k", "__v").mapInArrow(_partial_sums, f"__k {kind}, __s int, __n bigint, __t array<double>")
+    part = part.groupBy("__k", "__s").applyInArrow(_merge_sums, f"__k {kind}, __n bigint, __t array<double>")
+    done = part.groupBy("__k").applyInArrow(_merge_sums, f"__k {kind}, __n bigint, __t array<double>")
+    value = F.transform("__t", lambda x: (F.try_divide(x, F.col("__n").cast("double")) if how == "avg" else x).cast("float"))
+    value = F.when(F.col("__n") > 0, value)
+    return done.select(*[F.col(f"__k.{k}").alias(k) for k in keys], (to_half(value) if half else value).alias(out))
+
+
+def _partial_sums(batches):  # noqa: ANN001, ANN202
+    held: dict[str, list] = {}
+
+    def flush(salt: int) -> pa.RecordBatch:
+        rows = list(held.values())
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([r[0] for r in rows]), pa.array([salt] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["__k", "__s", "__n", "__t"])
+
+    salt = 0
+    for b in batches:
+        k = b.column(0)
+        names = [str(x) for x in k.to_pylist()]
+        order: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            order.setdefault(n, []).append(i)
+        vecs = b.column(1)
+        lengths = vecs.value_lengths().to_pylist()
+        for n, rows in order.items():
+            at = held.setdefault(n, [k.slice(rows[0], 1), 0, None])
+            live = [i for i in rows if lengths[i] is not None]
+            if not live:
+                continue
+            dims = {lengths[i] for i in live} | ({len(at[2])} if at[2] is not None else set())
+            if len(dims) > 1:
+                raise ValueError("different vector dimensions in a group")
+            m = vecs.take(pa.array(live)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(live), -1)
+            at[1], at[2] = at[1] + len(live), m.sum(0) if at[2] is None else at[2] + m.sum(0)
+        if len(held) > HELD_GROUPS:
+            yield flush(salt % SALTS)
+            salt += 1
+    if held:
+        yield flush(int.from_bytes(np.random.default_rng(len(held)).bytes(1), "little") % SALTS)
+
+
+def _merge_sums(parts: pa.Table) -> pa.Table:
+    sums = [np.asarray(t, np.float64) for t in parts["__t"].to_pylist() if t is not None]
+    if len({len(t) for t in sums}) > 1:
+        raise ValueError("different vector dimensions in a group")
+    total = np.sum(sums, axis=0).tolist() if sums else None
+    return pa.table({"__k": parts["__k"].combine_chunks().slice(0, 1), "__n": pa.array([sum(parts["__n"].to_pylist())], pa.int64()), "__t": pa.array([total], pa.list_(pa.float64()))})
+
+
+_V, _S, _B, _D = "array<float>", "struct<dim:int,indices:array<int>,values:array<float>>", "struct<nbits:int,words:array<bigint>>", "double"
+_DOT = "aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)"
+_SAME = "if(size(a) = size(b), {body}, raise_error('different vector dimensions'))"
+#: Name -> (arguments, result, body): every scalar function of the module that SQL can state.
 _SQL = {
-    "l2_distance": "sqrt(aggregate(zip_with(a, b, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, x) -> s + x))",
-    "l2_squared_distance": "aggregate(zip_with(a, b, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, x) -> s + x)",
-    "inner_product": "aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)",
-    "negative_inner_product": "-aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)",
-    "l1_distance": "aggregate(zip_with(a, b, (x, y) -> abs(double(x) - double(y))), 0D, (s, x) -> s + x)",
-    "cosine_distance": "1D - greatest(-1D, least(1D, coalesce(try_divide(aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)) * aggregate(b, 0D, (s, x) -> s + double(x) * double(x)))), double('NaN'))))",
+    "l2_squared_distance": ("a V, b V", "D", _SAME.format(body="aggregate(zip_with(a, b, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, x) -> s + x)")),
+    "l2_distance": ("a V, b V", "D", "sqrt(l2_squared_distance(a, b))"),
+    "inner_product": ("a V, b V", "D", _SAME.format(body=_DOT.format(a="a", b="b"))),
+    "negative_inner_product": ("a V, b V", "D", "-inner_product(a, b)"),
+    "l1_distance": ("a V, b V", "D", _SAME.format(body="aggregate(zip_with(a, b, (x, y) -> abs(double(x) - double(y))), 0D, (s, x) -> s + x)")),
+    "vector_norm": ("a V", "D", f"sqrt({_DOT.format(a='a', b='a')})"),
+    "vector_dims": ("a V", "int", "size(a)"),
+    "cosine_distance": ("a V, b V", "D", "1D - greatest(-1D, least(1D, coalesce(try_divide(inner_product(a, b), vector_norm(a) * vector_norm(b)), double('NaN'))))"),
+    "spherical_distance": ("a V, b V", "D", "acos(greatest(-1D, least(1D, inner_product(a, b)))) / pi()"),
+    "l2_normalize": ("a V", "V", "if(vector_norm(a) = 0D, a, transform(a, x -> float(double(x) / vector_norm(a))))"),
+    "subvector": ("a V, first int, n int", "V", "if(least(first + n - 1, size(a)) < greatest(first, 1), raise_error('vector must have at least 1 dimension'), slice(a, greatest(first, 1), greatest(least(first + n - 1, size(a)) - greatest(first, 1) + 1, 0)))"),
+    "vector_add": ("a V, b V", "V", _SAME.format(body="zip_with(a, b, (x, y) -> x + y)")),
+    "vector_sub": ("a V, b V", "V", _SAME.format(body="zip_with(a, b, (x, y) -> x - y)")),
+    "vector_mul": ("a V, b V", "V", _SAME.format(body="zip_with(a, b, (x, y) -> x * y)")),
+    "vector_concat": ("a V, b V", "V", "concat(a, b)"),
+    "vector_cmp": ("a V, b V", "int", "case when a < b then -1 when a > b then 1 when a = b then 0 end"),
+    "vector_lt": ("a V, b V", "boolean", "a < b"),
+    "vector_le": ("a V, b V", "boolean", "a <= b"),
+    "vector_eq": ("a V, b V", "boolean", "a = b"),
+    "vector_ne": ("a V, b V", "boolean", "a <> b"),
+    "vector_ge": ("a V, b V", "boolean", "a >= b"),
+    "vector_gt": ("a V, b V", "boolean", "a > b"),
+    "binary_quantize": ("a V", "B", "named_struct('nbits', size(a), 'words', transform(sequence(0, int(ceil(size(a) / 64)) - 1), w -> aggregate(sequence(0, 63), 0L, (s, i) -> shiftleft(s, 1) | bigint(coalesce(get(a, w * 64 + i) > 0, false)))))"),
+    "hamming_distance": ("a B, b B", "bigint", "if(a.nbits = b.nbits, aggregate(zip_with(a.words, b.words, (x, y) -> bigint(bit_count(x ^ y))), 0L, (s, x) -> s + x), raise_error('different bit lengths'))"),
+    "jaccard_distance": ("a B, b B", "D", "if(a.nbits = b.nbits, 1D - coalesce(try_divide(double(aggregate(zip_with(a.words, b.words, (x, y) -> bigint(bit_count(x & y))), 0L, (s, x) -> s + x)), double(aggregate(zip_with(a.words, b.words, (x, y) -> bigint(bit_count(x | y))), 0L, (s, x) -> s + x))), 0D), raise_error('different bit lengths'))"),
+    "to_sparsevec": ("a V", "S", "named_struct('dim', size(a), 'indices', filter(transform(sequence(0, size(a) - 1), i -> if(get(a, i) <> 0, i, null)), i -> i is not null), 'values', filter(a, x -> x <> 0))"),
+    "to_vector": ("s S", "V", "transform(sequence(0, s.dim - 1), i -> float(coalesce(try_element_at(s.values, int(nullif(array_position(s.indices, i), 0))), 0)))"),
+    "sparsevec_inner_product": ("a S, b S", "D", "if(a.dim = b.dim, aggregate(array_intersect(a.indices, b.indices), 0D, (s, i) -> s + double(element_at(a.values, int(array_position(a.indices, i)))) * double(element_at(b.values, int(array_position(b.indices, i))))), raise_error('different sparsevec dimensions'))"),
+    "sparsevec_l2_distance": ("a S, b S", "D", "sqrt(greatest(0D, aggregate(a.values, 0D, (s, x) -> s + double(x) * double(x)) + aggregate(b.values, 0D, (s, x) -> s + double(x) * double(x)) - 2 * sparsevec_inner_product(a, b)))"),
+    "vector_out": ("a V", "string", "concat('[', array_join(transform(a, x -> regexp_replace(string(x), '[.]0$', '')), ','), ']')"),
+    "vector_in": ("t string", "V", "transform(split(regexp_replace(t, '[\\\\[\\\\]\\\\s]', ''), ','), x -> float(x))"),
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Install the distances as SQL functions for this session (project the result to a column before ORDER BY)."""
-    for name, body in _SQL.items():
-        spark.sql(f"create or replace temporary function {name}(a array<float>, b array<float>) returns double return {body}")
-    spark.sql("create or replace temporary function vector_dims(a array<float>) returns int return size(a)")
-    spark.sql("create or replace temporary function vector_norm(a array<float>) returns double return sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)))")
+    """Install the scalar functions of _SQL for this session, and the aggregates vector_sum and vector_avg.
+
+    Project a result to a column before ORDER BY. The aggregates see a group at a time (Arrow, no map-side
+    sums): for large groups use `vec_aggregate`.
+    """
+    for name, (arguments, result, body) in _SQL.items():
+        names = {"V": _V, "S": _S, "B": _B, "D": _D}
+        args = ", ".join(f"{n} {names.get(t, t)}" for n, t in (a.split() for a in arguments.split(", ")))
+        spark.sql(f"create or replace temporary function {name}({args}) returns {names.get(result, result)} return {body}")
+
+    from pyspark.sql.functions import pandas_udf
+
+    def aggregate(how: str):  # noqa: ANN202
+        def run(v):  # noqa: ANN001, ANN202
+            rows = [np.asarray(x, np.float64) for x in v if x is not None]
+            if not rows:
+                return None
+            if len({len(x) for x in rows}) > 1:
+                raise ValueError("different vector dimensions in a group")
+            total = np.sum(rows, axis=0)
+            return (total / len(rows) if how == "avg" else total).astype(np.float32).tolist()
+
+        import pandas as pd
+
+        run.__annotations__ = {"v": pd.Series, "return": list}
+        return run
+
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    for how in ("sum", "avg"):
+        spark.udf.register(f"vector_{how}", pandas_udf(aggregate(how), _V, PandasUDFType.GROUPED_AGG))

@@ -34,6 +34,19 @@ def margin(vec: Column, positive: list[list[float]], negative: list[list[float]]
     return _mean(pos) - _mean(neg) if how == "mean" else best(pos) - best(neg)
 
 
+def all_margins(margins: list[Column]) -> Column:
+    """One score of several conditions that must all hold: the least margin; null where one is null."""
+    null = margins[0].isNull()
+    for m in margins[1:]:
+        null = null | m.isNull()
+    return F.when(~null, F.least(*margins) if len(margins) > 1 else margins[0])
+
+
+def drop_only(score: Column, low: float) -> Column:
+    """The band of a filter that may only drop: neg below `low`, unc from it on, nothing sure."""
+    return F.when(score < low, "neg").otherwise("unc")
+
+
 def role_margin(vec: Column, anchors: dict[str, list[float]], role: str) -> Column:
     """Similarity to the role's anchor less the mean over the other roles."""
     others = [similarity(vec, a) for r, a in anchors.items() if r != role]
@@ -116,6 +129,23 @@ def batch_verifier(answer: Callable[[list, str], list], key: str, text: str, kin
     return verify
 
 
+def first_confirmed(rows: DataFrame, key: str, order: list[str], prompt: str, verify: Verifier, n: int, batch: int = 256) -> DataFrame:
+    """The first `n` rows by `order` that the verifier confirms. Rows are asked in batches of growing size, so
+    that a LIMIT spares most of the calls; each batch is one bounded job."""
+    from ..plans.topk import page_after
+
+    found, last, spark = [], None, rows.sparkSession
+    while len(found) < n:
+        page = page_after(rows, [*order, key], last, batch).collect()  # `batch` rows
+        if not page:
+            break
+        asked = spark.createDataFrame(page, rows.schema)
+        yes = {r["id"] for r in verify(asked, prompt).filter(F.col("verdict").cast("boolean")).select("id").collect()}
+        found += [r for r in page if r[key] in yes]
+        last, batch = [page[-1][c] for c in (*order, key)], batch * 2
+    return spark.createDataFrame(found[:n], rows.schema)
+
+
 def cluster_cascade(clustered: DataFrame, key: str, cluster: str, to_centre: str, prompt: str, generate: Verifier) -> DataFrame:
     """(key, answer): one representative a cluster (least distance to the centre, ties by id) is asked, its answer goes to all; none is UNKNOWN."""
     rep = clustered.groupBy(cluster).agg(F.min(F.struct(to_centre, key)).alias("p")).select(cluster, F.col(f"p.{key}").alias("__rep"))

@@ -52,6 +52,19 @@ def mean_label_error(found: DataFrame, truth: DataFrame, label: str, value: str)
     return x.agg(F.avg(F.when(F.col("t") == 0, F.when(F.col("f") == 0, 0.0).otherwise(1.0)).otherwise(F.abs(F.col("f") - F.col("t")) / F.abs("t"))).alias("error"))
 
 
+def mape(found: DataFrame, truth: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(mape): mean of |found - truth| / |truth| over the true rows; a missing row counts as 1, a true 0 by the absolute error."""
+    f, t = found.select(*keys, F.col(value).cast("double").alias("f")), truth.select(*keys, F.col(value).cast("double").alias("t"))
+    error = F.when(F.col("f").isNull(), 1.0).when(F.col("t") == 0, F.abs("f")).otherwise(F.abs(F.col("f") - F.col("t")) / F.abs("t"))
+    return t.join(f, keys, "left").agg(F.avg(error).alias("mape"))
+
+
+def value_scores(found: DataFrame, truth: DataFrame, value: str) -> DataFrame:
+    """(precision, recall, f1) of the distinct values of a column, texts without outer space and regardless of case; nulls do not count."""
+    plain = lambda d: d.select(F.lower(F.trim(F.col(value).cast("string"))).alias("value")).filter("value is not null")
+    return set_scores(plain(found), plain(truth), ["value"])
+
+
 def _average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Ranks from counts of distinct values; ties share their mean rank."""
     from .ranks import count_better
@@ -130,7 +143,7 @@ def matched_rows(found: DataFrame, truth: DataFrame, cols: list[str]) -> DataFra
     return f.join(t, cond, "left_semi")
 
 
-METRICS = {"boundary_recall": boundary_recall, "set": set_scores, "label_error": mean_label_error, "spearman": spearman, "kendall": kendall, "macro_f1": macro_f1, "ari": adjusted_rand, "omega": omega_index}
+METRICS = {"boundary_recall": boundary_recall, "set": set_scores, "label_error": mean_label_error, "mape": mape, "values": value_scores, "spearman": spearman, "kendall": kendall, "macro_f1": macro_f1, "ari": adjusted_rand, "omega": omega_index}
 
 
 def metric(name: str):  # noqa: ANN201

@@ -8,7 +8,9 @@ Viterbi pass over the lattice of pieces picks the likeliest segmentation of each
 gives two names where single words are no names.
 
 Frequencies are joined to the lattice as a table (they grow with the data); only the handful of
-value forms (word counts and delimiters) are collected.
+value forms (word counts and delimiters) are collected. How many pieces a value may be joined from
+is told by the column itself: as many as a quoted value of at least two texts has. The frequent
+values and texts of a column, a bounded number, are met by broadcast, so that no task gets all rows of one.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ _QUOTED = [
     (re.compile(rf"'([^,;|/]*?)'{_CLOSED}", re.S), "''", "'"),
 ]
 _ENCLOSING = {"[": "]", "{": "}"}
-#: Pieces that one value may be joined from, besides the additions that follow them.
-MOST_JOINED = 3
+#: Pieces that a value may be joined from where quoted values of the column do not show more, besides the additions that follow them.
+LEAST_JOINED = 3
+#: A value or text counts as frequent from one in so many on; there are no more of them than this.
+FREQUENT = 500
 
 
 def pieces(text: str) -> list[tuple[int, int, str, bool]]:
@@ -104,12 +108,38 @@ def form(value: str) -> str:
 _SPAN = "array<struct<i:int,j:int,value:string,form:string,words:int,single:boolean,quoted:boolean>>"
 
 
-def _lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def quoted_parts(text: str) -> list[int]:
+    """Of how many pieces the quoted values of a text would be, were they not quoted."""
+    return [len(re.split(_DELIMITER, v)) for _, _, v, quoted in pieces(text) if quoted]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, parts, texts): in how many texts of the batch a quoted value has so many pieces."""
+    for b in batches:
+        seen: dict[tuple[str, int], int] = {}
+        for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for n in set(quoted_parts(t)):
+                seen[f, n] = seen.get((f, n), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["field", "parts", "texts"])
+
+
+def most_joined(texts: DataFrame) -> dict[str, int]:
+    """For each field the most pieces that quoted values of at least two distinct texts (field, text) have."""
+    counts = texts.filter(F.col("text").rlike("[\"']")).select("field", "text").mapInArrow(_parts, "field string, parts bigint, texts bigint").groupBy("field", "parts").agg(F.sum("texts").alias("texts"))
+    return {r["field"]: r["most"] for r in counts.filter("texts > 1").groupBy("field").agg(F.max("parts").alias("most")).collect()}  # a row a field
+
+
+def _lattice(most: dict[str, int]):  # noqa: ANN202
+    return lambda batches: _lattices(batches, most)
+
+
+def _lattices(batches: Iterator[pa.RecordBatch], most: dict[str, int]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("value", pa.string()), ("form", pa.string()), ("words", pa.int32()), ("single", pa.bool_()), ("quoted", pa.bool_())]))
     for b in batches:
         out = []
-        for text in b.column(1).to_pylist():
+        for field, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             p = pieces(text)
+            joined = max(LEAST_JOINED, most.get(field, 0))
             spans = []
             for i, (start, _, v, quoted) in enumerate(p):
                 spans.append({"i": i, "j": i + 1, "value": v, "form": form(v), "words": len(v.split()), "single": True, "quoted": quoted})
@@ -121,11 +151,11 @@ def _lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if p[j][3] or (inside is not None and kind_of != inside):  # a value has one kind of delimiter inside
                         break
                     inside = kind_of
-                    if j - i >= MOST_JOINED:
+                    if j - i >= joined:
                         if not _ADDITION.fullmatch(p[j][2]):
                             break
                         if j + 1 < len(p) and not p[j + 1][3] and text[p[j][1] : p[j + 1][0]].strip()[:1] == inside and _ADDITION.fullmatch(p[j + 1][2]):
-                            continue  # beyond the cap a value takes all its additions
+                            continue  # beyond that a value takes all its additions
                     v = text[start : p[j][1]].strip()
                     spans.append({"i": i, "j": j + 1, "value": v, "form": form(v), "words": len(v.split()), "single": False, "quoted": False})
             out.append(spans)
@@ -180,7 +210,17 @@ def _forms(df: DataFrame) -> tuple[dict[str, dict[str, float]], dict[str, float]
     return out, totals
 
 
-def split_packed(df: DataFrame, key: str, fields: dict[str, int], rounds: int = 2) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """`left` joined with a table of distinct keys and their weights: at most FREQUENT keys of a
+    FREQUENT-th of all weight each go by broadcast, all others by shuffle."""
+    total = right.agg(F.sum(weight)).head()[0] or 0
+    frequent = F.col(weight) * FREQUENT >= total
+    hot = F.broadcast(right.filter(frequent))
+    warm = left.join(hot, on)
+    return warm.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(~frequent), on, how))
+
+
+def split_packed(df: DataFrame, key: str, fields: dict[str, int], rounds: int = 20) -> DataFrame:
     """(id, field, pos, value): the values of each packed text column, one per row, pos from 1.
 
     `fields` maps a column to the least number of words of its values. Enclosing brackets and
@@ -188,30 +228,37 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, int], rounds: int =
     repeats stay; blank pieces take no position. Null, blank and placeholder texts give no row. A
     row whose key is null keeps it. Equal texts are split once and alike. Empty tables give an
     empty result; columns not named are not read. Texts may be of any length. Without quotes a value
-    is joined from at most MOST_JOINED pieces and all additions (Jr., Ph.D.) that follow the last one.
+    is joined from at most `most_joined` pieces (LEAST_JOINED, where the column shows no more) and
+    all additions (Jr., Ph.D.) that follow the last one. Expectation and maximisation alternate
+    until no text is split otherwise than before, at most `rounds` times.
     """
     rows = None
     for f in fields:
         x = df.select(F.col(key).cast("bigint").alias("id"), F.lit(f).alias("field"), F.col(f).alias("text")).filter(F.trim("text") != "")
         rows = x if rows is None else rows.unionByName(x)
-    texts = rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("weight"))
-    lattice = cut(texts.mapInArrow(_lattice, f"field string, text string, weight bigint, spans {_SPAN}").filter(F.size("spans") > 0))
+    texts = cut(rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("weight")))
+    lattice = cut(texts.mapInArrow(_lattice(most_joined(texts)), f"field string, text string, weight bigint, spans {_SPAN}").filter(F.size("spans") > 0))
     plain = F.forall("spans", lambda s: s["single"])  # no delimiter to decide on
     least = F.create_map(*[F.lit(v) for kv in fields.items() for v in kv])
     known = lattice.filter(plain).select("field", "text", "weight", F.transform("spans", lambda s: F.struct(s["value"].alias("value"), s["form"].alias("form"))).alias("chosen"))
     open_ = lattice.filter(~plain)
+    spans = open_.select("field", "text", "weight", F.explode("spans").alias("s")).select("field", "text", "weight", F.col("s.value").alias("value"), "s")
     # at first every piece that can be a value counts as one
-    start = lattice.select("field", "weight", F.explode(F.filter("spans", lambda s: s["single"] & (s["quoted"] | (s["words"] >= least[F.col("field")])))).alias("s")).select("field", "weight", "s.value", "s.form")
-    current = start
-    chosen = None
+    current = lattice.select("field", "weight", F.explode(F.filter("spans", lambda s: s["single"] & (s["quoted"] | (s["words"] >= least[F.col("field")])))).alias("s")).select("field", "weight", "s.value", "s.form")
+    chosen, before = None, None
     for _ in range(rounds):
-        forms, totals = _forms(current)
-        counts = current.groupBy("field", "value").agg(F.sum("weight").alias("n"))
+        counts = cut(current.groupBy("field", "value", "form").agg(F.sum("weight").alias("weight")))  # a value has one form but for a quoted one
+        forms, totals = _forms(counts)
+        counts = counts.groupBy("field", "value").agg(F.sum("weight").alias("n"))
         once = counts.groupBy("field").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum("n").alias("n")).collect()  # a row a field
         fresh = {r["field"]: min(0.99, max(1e-4, r["once"] / r["n"])) for r in once}
-        spans = open_.select("field", "text", "weight", F.explode("spans").alias("s")).select("field", "text", "weight", F.col("s.value").alias("value"), "s")
-        scored = spans.join(counts, ["field", "value"], "left").groupBy("field", "text", "weight").agg(F.collect_list(F.struct("s.i", "s.j", "value", "s.form", "s.words", "n")).alias("spans"))
+        scored = meet(spans, counts, ["field", "value"], "n", "left").groupBy("field", "text", "weight").agg(F.collect_list(F.struct("s.i", "s.j", "value", "s.form", "s.words", "n")).alias("spans"))
         chosen = cut(scored.mapInArrow(_viterbi(fields, forms, totals, fresh), "field string, text string, weight bigint, chosen array<struct<value:string,form:string>>"))
+        told = chosen.agg(F.sum(F.xxhash64("field", "text", "chosen").cast("decimal(38,0)"))).head()[0]
+        if told == before:
+            break
+        before = told
         current = known.unionByName(chosen).select("field", "weight", F.explode("chosen").alias("c")).select("field", "weight", "c.value", "c.form")
-    split = known.unionByName(chosen).select("field", "text", "chosen")
-    return rows.join(split, ["field", "text"]).select("id", "field", F.posexplode("chosen").alias("p", "c")).select("id", "field", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("c.value").alias("value"))
+    split = known.unionByName(chosen)
+    found = meet(rows, split, ["field", "text"], "weight")
+    return found.select("id", "field", F.posexplode("chosen").alias("p", "c")).select("id", "field", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("c.value").alias("value"))

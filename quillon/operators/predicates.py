@@ -82,3 +82,28 @@ def in_bitmap(df: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
     j = x.join(bitmaps, x["__b"] == bitmaps["bucket"])
     bit = F.expr("(shiftright(cast(conv(hex(substring(bitmap, cast(__p div 8 as int) + 1, 1)), 16, 10) as int), cast(__p % 8 as int)) & 1) = 1")
     return j.filter(bit).drop("__b", "__p", "bucket", "bitmap")
+
+
+def bloom(ids: DataFrame, id_col: str, bits: int = 1 << 20, hashes: int = 5) -> DataFrame:
+    """(bucket, bitmap): a Bloom filter of a fixed number of bits, in bitmaps of 32768 bits each, built map-side."""
+    at = ids.filter(F.col(id_col).isNotNull()).select(F.explode(_bloom_bits(F.col(id_col), bits, hashes)).alias("b"))
+    return id_bitmap(at, "b")
+
+
+def _bloom_bits(c: Column, bits: int, hashes: int) -> Column:
+    one, two = F.xxhash64(c, F.lit(1)), F.xxhash64(c, F.lit(2)).bitwiseOR(F.lit(1))
+    return F.array(*[F.pmod(F.shiftright(one, 8) + F.shiftright(two, 8) * F.lit(i), F.lit(bits)) for i in range(hashes)])
+
+
+def maybe_in(df: DataFrame, key: str, filter_: DataFrame, bits: int = 1 << 20, hashes: int = 5) -> DataFrame:
+    """Rows whose key may be in a `bloom` of the same size: all that are, and a few that are not. Null keys are not."""
+    keys = df.select(F.col(key).alias("__k")).filter(F.col(key).isNotNull()).distinct().withColumn("__i", F.explode(_bloom_bits(F.col("__k"), bits, hashes)))
+    hit = in_bitmap(keys, "__i", filter_).groupBy("__k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == hashes)
+    return df.join(hit.select(F.col("__k").alias(key)), key, "left_semi")
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the first by `order` (ties by the whole row), chosen map-side."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("__f")
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"__f.{c}").alias(c) for c in (*order, *rest)]).select(*df.columns)

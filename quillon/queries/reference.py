@@ -402,7 +402,7 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def chain3_join(spark: SparkSession, d: str) -> DataFrame:
     t = _ti(spark, d, 1.15)
-    return S.chain(t.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), t.select(F.col("r_id").alias("b"), F.col("l_id").alias("c"))).filter("a <> c")
+    return S.chain(t.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), t.select(F.col("r_id").alias("a"), F.col("l_id").alias("b"))).toDF("a", "b", "c").filter("a <> c")
 
 
 def _retrieved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -464,6 +464,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _E = "with e as (select vec_id, embedding::double[] v, label from embeddings), q as (select v from e where vec_id = 0)"
 _ENT = _E + ", x as (select vec_id id, v, label, v[1:32] head, v[33:64] tail, p_size size, p_retailprice price, string_split(p_type, ' ') tags from e join part on p_partkey = vec_id + 1)"
 _TI = ", l as (select vec_id id, v from e where vec_id % 2 = 0), r as (select vec_id id, v from e where vec_id % 2 = 1), ti as (select l.id l_id, r.id r_id, list_distance(l.v, r.v) dis from l, r where list_distance(l.v, r.v) <= {tau})"
+_TIM = _TI.replace("ti as (", "ti as materialized (")
 _ETI = _E + _TI.format(tau=TAU)
 _XTI = _ENT + _TI.format(tau=TAU)
 _L1 = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i])))"
@@ -549,7 +550,7 @@ def oracle_sql() -> dict[str, str]:
         "top1_per_group": f"{_E}, y as (select label, min(row(round({d('e.v', 'q.v')}, 6), vec_id)) p from e, q group by 1) select label, p[2] as vec_id, p[1] as s from y",
         "top_groups": f"{_MARG} select label, min(round(margin, 6)) as score from m group by 1 order by score, label limit 5",
         "rank_fusion": f"{_ENT}, a as (select id, row_number() over (order by round({d('head', 'q.v[1:32]')}, 9), id) rank from x, q), b as (select id, row_number() over (order by round({d('tail', 'q.v[33:64]')}, 9), id) rank from x, q), u as (select * from a where rank <= 100 union all select * from b where rank <= 100) select id, round(sum(1.0 / (60 + rank)), 9) as score from u group by 1 order by sum(1.0 / (60 + rank)) desc, id limit 20",
-        "chain3_join": f"{_E}{_TI.format(tau=1.15)} select t.l_id as a, t.r_id as b, u.l_id as c from ti t join ti u on t.r_id = u.r_id and t.l_id <> u.l_id",
+        "chain3_join": f"{_E}{_TIM.format(tau=1.15)} select t.l_id as a, t.r_id as b, u.l_id as c from ti t join ti u on t.r_id = u.r_id where t.l_id <> u.l_id",
         "eval_recall": f"{_RET} select round(count(*) filter (f.score <= (select max(score) from t) + 1e-6) / 20, 6) as recall from f",
         "eval_f1": f"{_RET}, h as (select count(*) h from f where vec_id in (select vec_id from t)) select round(h / 20, 6) as precision, round(h / 20, 6) as recall, round(h / 20, 6) as f1 from h",
         "eval_ari": f"{_LAB}, c as (select found, truth, count(*) n from b group by 1, 2), ci as (select sum(n * (n - 1) / 2) i from c), cf as (select sum(n * (n - 1) / 2) f from (select found, sum(n) n from c group by 1)), ct as (select sum(n * (n - 1) / 2) t from (select truth, sum(n) n from c group by 1)), k as (select count(*) * (count(*) - 1) / 2 k from b) select round((i - f * t / k) / ((f + t) / 2 - f * t / k), 6) as ari from ci, cf, ct, k",

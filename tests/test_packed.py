@@ -45,3 +45,18 @@ def test_name_with_several_additions(spark):
     got = values(spark, rows, {"t": 2})
     assert got[2] == ["Moe, Cy, Jr., Ph.D.", "Ray, Bob"] and got[3] == ["Ray, Bob", "Moe, Cy, Jr., Ph.D., Esq."] and got[4] == ["Moe, Cy, Jr., Ph.D., (II)"]
     assert got[1] == ["Lee, Ann, Jr.", "Ray, Bob"]
+
+
+def test_values_of_many_pieces_are_shown_by_quoted_ones(spark):
+    long = "Film / Play / Song / Dance / Mime"
+    rows = [f'"{long}", "War"', f'"{long}", "Crime"', f"{long}", f"{long}|War"] * 6 + ["War"] * 6 + ["Crime|War"] * 6
+    got = values(spark, rows)
+    assert got[0] == [long, "War"] and got[2] == [long] and got[3] == [long, "War"] and got[-1] == ["Crime", "War"]
+    assert packed.quoted_parts('"A, B", C, "D"') == [2, 1]
+
+
+def test_frequent_keys_lose_nothing(spark):
+    left = spark.createDataFrame([("a", i) for i in range(900)] + [(str(i), i) for i in range(100)], "k string, i int")
+    right = spark.createDataFrame([("a", 900)] + [(str(i), 1) for i in range(90)], "k string, w bigint")
+    assert packed.meet(left, right, ["k"], "w").count() == 990 and packed.meet(left, right, ["k"], "w", "left").count() == 1000
+    assert packed.meet(left, right.limit(0), ["k"], "w", "left").count() == 1000 and packed.meet(left.limit(0), right, ["k"], "w").count() == 0
