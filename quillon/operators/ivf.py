@@ -68,3 +68,13 @@ def search(filed: DataFrame, key: str, vec: str, query: list[float], centroids:
     return top_k(filed.filter(F.col("list_id").isin(near)), V.score(F.col(vec), list(query)), k, key)
 
 
+def search_until(filed: DataFrame, key: str, vec: str, query: list[float], centroids: np.ndarray, k: int, probes: int = 1) -> DataFrame:
+    """`search` that goes on to farther lists, twice as many each time, until it has k rows or has read every list.
+
+    For filtered tables, whose near lists may hold too few rows. Each round counts the rows of its lists only.
+    """
+    while probes < len(centroids):
+        if search(filed, key, vec, query, centroids, k, probes).count() >= k:
+            break
+        probes *= 2
+    return search(filed, key, vec, query, centroids, k, probes)

@@ -370,7 +370,7 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_diff(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("key")).subtract(_t(spark, d, "orders").select(F.col("o_custkey").alias("key")))
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("key")).subtract(_t(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("key")))
 
 
 def modality_xor(spark: SparkSession, d: str) -> DataFrame:
@@ -544,7 +544,7 @@ def oracle_sql() -> dict[str, str]:
         "group_rank": f"{_MARG} select label, round(avg(margin), 6) as mean, round(avg((margin > 0)::int), 6) as ratio, count(*) as n from m group by 1",
         "set_union": "select o_custkey from orders where o_orderpriority = '1-URGENT' and o_totalprice > 300000 union select o_custkey from orders where o_orderstatus = 'P'",
         "set_intersect": "select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'P'",
-        "set_diff": "select c_custkey as key from customer except select o_custkey from orders",
+        "set_diff": "select c_custkey as key from customer except select o_custkey from orders where o_totalprice > 300000",
         "modality_xor": "select user_id from events group by 1 having max((value > 50)::int) = 1 and min((value > 50)::int) = 0 and count(distinct event_type) > 1",
         "argmax_group": "select c_mktsegment, c_nationkey, count(*) as n from customer group by 1, 2 order by n desc, 1, 2 limit 1",
         "top1_per_group": f"{_E}, y as (select label, min(row(round({d('e.v', 'q.v')}, 6), vec_id)) p from e, q group by 1) select label, p[2] as vec_id, p[1] as s from y",
