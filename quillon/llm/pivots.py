@@ -26,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import cut
 
 #: Pivots at most, records they are drawn from at most, and records of a slice of a cell.
 MOST_PIVOTS, SAMPLE_ROWS, SLICE_ROWS = 512, 4096, 3000
@@ -286,7 +287,8 @@ def _join(threshold: float, also_threshold: float):  # noqa: ANN202
 def similar_classes(left: DataFrame, key: str, main: Column, threshold: float, also: Column | None = None, also_threshold: float = 0.0, right: DataFrame | None = None, right_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The classes of equal records (class_id, left_ids, right_ids) and the similar pairs of classes (a, b, similarity).
 
-    See `similar_pairs`. A class is named by its least id; pairs have a < b.
+    See `similar_pairs`. A class is named by its least id; pairs have a < b. A class has a row for
+    each task of the first pass that met it, so that its ids never are one array.
     """
     spark = left.sparkSession
     rows = _read(left, key, main, also, 0)
@@ -294,11 +296,12 @@ def similar_classes(left: DataFrame, key: str, main: Column, threshold: float, a
         rows = rows.unionByName(_read(right, right_key or key, main, also, 1))
     if right is not None:  # ids of two tables may coincide: keep classes apart by odd and even names
         rows = rows.withColumn("id", F.col("id") * 2 + F.col("side"))
-    found = rows.mapInArrow(_classes, _CLASSES).persist()
+    found = cut(rows.mapInArrow(_classes, _CLASSES))
     n = found.count()
     sample = found.select("h", "main", "also").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n)))).toArrow()
     drawn = sorted(dict(zip(sample["h"].to_pylist(), zip(sample["main"].to_pylist(), sample["also"].to_pylist(), strict=True), strict=True)).values())
-    classes = found.groupBy("h").agg(F.min(F.array_min(F.concat("left_ids", "right_ids"))).alias("class_id"), F.flatten(F.collect_list("left_ids")).alias("left_ids"), F.flatten(F.collect_list("right_ids")).alias("right_ids")).drop("h")
+    names = found.groupBy("h").agg(F.min(F.array_min(F.concat("left_ids", "right_ids"))).alias("class_id"))
+    classes = found.select("h", "left_ids", "right_ids").join(names, "h").drop("h")
     if not drawn:
         return classes, spark.createDataFrame([], "a bigint, b bigint, similarity double")
     take = max(1, min(MOST_PIVOTS, int(np.sqrt(n)), len(drawn)))
@@ -326,26 +329,27 @@ def similar_pairs(left: DataFrame, key: str, main: Column, threshold: float, als
     """
     classes, pairs = similar_classes(left, key, main, threshold, also, also_threshold, right, right_key)
     one = right is None
-    members = classes.select("class_id", "left_ids") if one else classes
-    a, b = members.select(F.col("class_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in members.columns[1:]]), members.select(F.col("class_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in members.columns[1:]])
-    own = members.filter(F.size("left_ids") > 1) if one else members.filter((F.size("left_ids") > 0) & (F.size("right_ids") > 0))
+    size = lambda c: F.sum(F.size(c))
+    several = classes.groupBy("class_id").agg(size("left_ids").alias("l"), size("right_ids").alias("r")).filter("l > 1" if one else "l > 0 and r > 0").select("class_id")
+    mine, theirs = ("left_ids", "left_ids") if one else ("left_ids", "right_ids")
+    own = classes.join(several, "class_id")
+    own = own.select("class_id", F.col(mine).alias("p")).join(own.select("class_id", F.col(theirs).alias("q")), "class_id").select("p", "q", F.lit(1.0).alias("similarity"), F.lit(True).alias("own"))
+    a, b = (classes.select(F.col("class_id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("left_ids", "right_ids")]) for c in ("a", "b"))
     far = pairs.join(a, "a").join(b, "b")
+    met = own.unionByName(far.select(F.col(f"a_{mine}").alias("p"), F.col(f"b_{theirs}").alias("q"), "similarity", F.lit(False).alias("own")))
+    if not one:
+        met = met.unionByName(far.select(F.col("b_left_ids").alias("p"), F.col("a_right_ids").alias("q"), "similarity", F.lit(False).alias("own")))
+    met = met.filter((F.size("p") > 0) & (F.size("q") > 0)).repartition(F.xxhash64("p"), F.xxhash64("q"))  # parts of a large class spread before their ids are paired
+    met = met.select(F.explode("p").alias("x"), "q", "similarity", "own").select("x", F.explode("q").alias("y"), "similarity", "own")
+    if one:
+        met = met.filter("not own or x < y")  # a pair of one class is met from either end
     if one:
-        own = own.select(F.explode("left_ids").alias("x"), "left_ids").select("x", F.explode("left_ids").alias("y"), F.lit(1.0).alias("similarity")).filter("x < y")
-        far = far.select(F.explode("a_left_ids").alias("x"), "b_left_ids", "similarity").select("x", F.explode("b_left_ids").alias("y"), "similarity")
-        return own.unionByName(far).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
-    own = own.select(F.explode("left_ids").alias("x"), "right_ids").select("x", F.explode("right_ids").alias("y"), F.lit(1.0).alias("similarity"))
-    for p, q in (("a_left_ids", "b_right_ids"), ("b_left_ids", "a_right_ids")):
-        own = own.unionByName(far.select(F.explode(p).alias("x"), q, "similarity").select("x", F.explode(q).alias("y"), "similarity"))
+        return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
     half = lambda c: F.shiftright(c, 1)
-    return own.select(half("x").alias("id_a"), half("y").alias("id_b"), "similarity")
+    return met.select(half("x").alias("id_a"), half("y").alias("id_b"), "similarity")
 
 
 def classes_with_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, class_id, links): each record with its class of equal records and how many other classes are similar to it."""
     n = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     return classes.join(n, "class_id", "left").select(F.explode("left_ids").alias("id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def is_bits(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StructType)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], score: Column, n: int, hot_rows: int = 10_000, ranges: int = 32, salts: int = 16) -> DataFrame:
     """The first `n` rows of each group by `order`, with their `rank` from 1.
@@ -59,4 +61,5 @@ def least_partners(pairs: DataFrame, n: int = 5, hot_rows: int = 10_000) -> Data
         .groupBy("id1", "id2").agg(F.max(F.struct("inserted_at", (-F.col("dis")).alias("m"))).alias("l"))
         .select("id1", "id2", (-F.col("l.m")).alias("dis"))
     )
+    latest = cut(latest)  # counts, ranges and both branches read it
     return top_n(latest, ["id1"], [F.col("dis"), F.col("id2")], F.col("dis"), n, hot_rows)
