@@ -6,8 +6,10 @@ of the beginning, however much was cut; edited copies meet by five-word shingles
 and are aligned word by word from the start. The text whose alignment ends within a word or
 sentence of the longer copy was cut. Texts without such a copy are scored by closing terminality:
 from all texts, how often the text's last words (three, two, one; names as a class) stand at an
-end, and how often a sentence ends after them. A closing word that is never seen inside a text but
-begins the word that usually follows the same two words is a fragment. Sources that close sentences
+end, and how often a sentence ends after them. A closing word that is hardly seen inside a text but
+begins the word that usually follows the same two words is a fragment. In a large table cuts repeat,
+so that a closing is no habit for being seen often: one that mostly follows words after which hardly
+any text or sentence ends with the next word is a cut. Sources that close sentences
 without punctuation are recognised by their own texts and judged by sentence ends; all others need
 a closing that is a habit. Texts are cut into words once; all else works on the words' hashes.
 """
@@ -46,6 +48,12 @@ HABIT, LENIENT_END, LENIENT_SENTENCE = 0.3, 0.02, 0.1
 OFTEN_SEEN, NEVER_LAST = 50, 0.01
 #: Texts a rate must rest on besides the judged one; shares of a source's texts that make it lenient.
 LEAST_SEEN, LENIENT_SHARE, OPEN_SHARE = 3, 0.03, 0.5
+#: Inside texts a fragment is at most so often seen as the longer words in its place.
+FRAGMENT_INSIDE = 0.001
+#: Words seen this often, after which a text or a sentence ends with the next word at a lower rate than this, lead to no end; a
+#: closing of at least so many texts of which this share is led to no end is a cut, unless an end is led to and at least this
+#: share of the words in its place are the closing.
+LEAD_SEEN, LEAD_END, LED_TEXTS, LED_SHARE, IN_PLACE = 100, 0.05, 10, 0.5, 0.01
 SHINGLE, BANDS, BAND_ROWS = 5, 8, 4
 #: How far before a text's last word the shingle may end by which edited copies are looked up; the share of its words that may be edited.
 TAILS, EDITED = (0, 3, 6), 0.1
@@ -60,12 +68,18 @@ def _h(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+_ENDERS = np.array([_h(t) for t in _ENDS], np.int64)
+
+
 def read(text: str) -> tuple[list[str], list[str], bool, bool, bool]:
     """Tokens (lower case, numbers as 0), the same with names as one class, and whether the text has a
     cut mark, ends in dots, is closed by sentence punctuation."""
     text = _SIGNED.sub("", text)
-    hard, dots = bool(_CUT_MARK.search(text[-200:])), bool(_DOTS.search(text[-200:]))
-    if dots:
+    mark, dots = _CUT_MARK.search(text[-200:]), bool(_DOTS.search(text[-200:]))
+    hard = bool(mark)
+    if mark and _TOKEN.search(text[: max(len(text) - 200, 0) + mark.start()]):  # else the mark would follow the cut word in the statistics
+        text = text[: max(len(text) - 200, 0) + mark.start()]
+    if dots or hard:
         text = text[:-2000] + _DOTS_AND_SPACE.sub("", text[-2000:])
     hard = hard or bool(_OPEN.search(text[-100:].rstrip()))
     raw = _TOKEN.findall(text)
@@ -92,7 +106,7 @@ def _keys(low: np.ndarray, names: np.ndarray, start: np.ndarray) -> dict[int, np
 
 
 _WORDS = "tokens array<string>, low array<bigint>, names array<bigint>"
-_READ = f"id binary, source string, n int, hard boolean, dots boolean, closed boolean, lone boolean, number boolean, word string, k1 bigint, k2 bigint, k3 bigint, k4 bigint, before bigint, before1 bigint, first bigint, buckets array<bigint>, {_WORDS}"
+_READ = f"id binary, source string, n int, hard boolean, dots boolean, closed boolean, lone boolean, number boolean, word string, k1 bigint, k2 bigint, k3 bigint, k4 bigint, l2 bigint, l3 bigint, before bigint, before1 bigint, first bigint, buckets array<bigint>, {_WORDS}"
 #: Odd factor of the positional hash of a beginning.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,6 +161,11 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ks = [np.zeros(len(docs), np.int64) for _ in range(4)]
             for k, out in zip((1, 2, 3, 4), ks, strict=True):
                 out[full] = keys[k][at] if len(at) else 0
+            leads = [np.zeros(len(docs), np.int64) for _ in range(2)]
+            led = np.flatnonzero(n >= 2)
+            led = led[~np.isin(low[last[led] - 1], _ENDERS)]  # after a sentence's end any closing may stand
+            for k, out in zip((2, 3), leads, strict=True):
+                out[led] = keys[k][last[led] - 1]
             before, before1 = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
             two, some = np.flatnonzero(n >= 3), np.flatnonzero(n >= 2)
             before[two] = _mix(np.full(len(two), 2), low[last[two] - 2], low[last[two] - 1])
@@ -159,16 +178,19 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     x.column(0), x.column(1), pa.array(n.astype(np.int32)), *(pa.array([d[i] for d in docs], pa.bool_()) for i in (2, 3, 4)),
                     pa.array([bool(m) and len(m[1]) == 1 and m[1].isupper() for m in dot], pa.bool_()), pa.array([bool(m) and m[1].isdigit() for m in dot], pa.bool_()),
-                    pa.array([d[0][-1] if d[0] and d[0][-1].isalpha() else "" for d in docs], pa.string()), *(pa.array(k) for k in ks), pa.array(before), pa.array(before1), pa.array(first),
+                    pa.array([d[0][-1] if d[0] and d[0][-1].isalpha() else "" for d in docs], pa.string()), *(pa.array(k) for k in (*ks, *leads)), pa.array(before), pa.array(before1), pa.array(first),
                     pa.array(_min_hashes(shingles, many), pa.list_(pa.int64())), _lists(n, pa.array([w for d in docs for w in d[0]], pa.string())), _lists(n, pa.array(low)), _lists(n, pa.array(names)),
                 ],
                 [c.split()[0] for c in _READ.split(", ")],
             )
 
 
+_COUNTS = ("n", "last", "ends", "sentence", "next_ends", "next_sentence")
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (low, names, hard, dots) -> (key, n, last, ends, sentence): how often a context occurs, is last of a text, is an end, is followed by a sentence end."""
-    enders = np.array([_h(t) for t in _ENDS], np.int64)
+    """Rows (low, names, hard, dots) -> _COUNTS: how often a context occurs, is last of a text, is an end, is followed by a sentence end,
+    and how often the next word is an end or followed by a sentence end."""
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
             x = b.slice(lo, 2000)
@@ -180,10 +202,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             final[np.cumsum(n)[n > 0] - 1] = True
             hard, dots = (np.repeat(x.column(i).to_numpy(zero_copy_only=False).astype(bool), n) for i in (2, 3))
             ended = final & ~hard
-            sentence = np.where(final, ended & dots, np.isin(np.append(low[1:], 0), enders))
+            sentence = np.where(final, ended & dots, np.isin(np.append(low[1:], 0), _ENDERS))
+            next_ends, next_sentence = (np.where(final, False, np.append(c[1:], False)) for c in (ended, sentence))
             u, inv = np.unique(np.concatenate(list(_keys(low, names, start).values())), return_inverse=True)
-            cols = [np.bincount(inv, np.tile(c.astype(float), 4), len(u)).astype(np.int64) for c in (np.ones(len(low)), final, ended, sentence)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u, *cols)], ["key", "n", "last", "ends", "sentence"])
+            cols = [np.bincount(inv, np.tile(c.astype(float), 4), len(u)).astype(np.int64) for c in (np.ones(len(low)), final, ended, sentence, next_ends, next_sentence)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u, *cols)], ["key", *_COUNTS])
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,17 +394,20 @@ def judge(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     distinct = docs.groupBy("id").agg(F.first("source").alias("source"), F.first("text").alias("text"))
     every = read_all(distinct.select("id", "source", "text"))
     ends = every.drop("tokens", "low", "names", "first", "buckets").filter("n > 0")
-    counts = every.select("low", "names", "hard", "dots").mapInArrow(_contexts, "key bigint, n bigint, last bigint, ends bigint, sentence bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "last", "ends", "sentence")])
-    keys = ends.select("id", "hard", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("key")) for i in (1, 2, 3, 4)])).alias("k")).select("id", "hard", "k.level", "k.key")
+    counts = every.select("low", "names", "hard", "dots").mapInArrow(_contexts, ", ".join(f"{c} bigint" for c in ("key", *_COUNTS))).groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    keys = ends.select("id", "hard", "dots", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(k).alias("key")) for i, k in enumerate(("k1", "k2", "k3", "k4", "l2", "l3"), 1)])).alias("k")).select("id", "hard", "dots", "k.level", "k.key")
     seen = F.col("n") - 1  # without the text itself
-    found = keys.join(counts, "key").groupBy("id").agg(*[F.max(F.when(F.col("level") == i, F.struct(seen.alias("n"), F.try_divide(F.col("ends") - F.when(F.col("hard"), 0).otherwise(1), seen).alias("e"), F.try_divide(F.col("sentence"), seen).alias("f"), (F.col("n") - F.col("last")).alias("inside")))).alias(f"r{i}") for i in (1, 2, 3, 4)])
+    own_end, own_sentence = F.when(F.col("hard"), 0).otherwise(1), F.when(~F.col("hard") & F.col("dots"), 1).otherwise(0)
+    lead = F.struct((F.col("n") - F.col("last") - 1).alias("n"), F.greatest(F.col("next_ends") - own_end, F.col("next_sentence") - own_sentence).alias("ends"))  # without the text itself
+    leads = [F.max(F.when((F.col("level") == i) & (lead["n"] >= LEAD_SEEN), F.struct(lead["n"].alias("n"), (lead["ends"] / lead["n"]).alias("e")))).alias(f"lead{i - 3}") for i in (5, 6)]
+    found = keys.join(counts, "key").groupBy("id").agg(*leads, *[F.max(F.when(F.col("level") == i, F.struct(seen.alias("n"), F.try_divide(F.col("ends") - own_end, seen).alias("e"), F.try_divide(F.col("sentence"), seen).alias("f"), (F.col("n") - F.col("last")).alias("inside")))).alias(f"r{i}") for i in (1, 2, 3, 4)])
 
     def first_of(*levels: int):  # noqa: ANN202
         empty = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1.0).alias("e"), F.lit(-1.0).alias("f"), F.lit(0).cast("bigint").alias("inside"))
         return F.coalesce(*[F.when(F.col(f"r{i}.n") >= LEAST_SEEN, F.col(f"r{i}")) for i in levels], empty)
 
     found = _safe(found)
-    x = ends.join(found, "id", "left")
+    x = cut(ends.join(found, "id", "left"))
     plain = ~F.col("hard") & ~F.col("dots")
     open_ = plain & ~F.col("closed")
     manner = x.groupBy("source").agg(
@@ -389,7 +415,13 @@ def judge(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     ).select("source", ((F.col("bare") > F.col("texts") * LENIENT_SHARE) | (F.col("open") > F.col("texts") * OPEN_SHARE)).alias("lenient"))
     x = x.join(manner, "source")
 
-    # a closing word that never goes on after the words before it, while a longer word of this beginning does
+    # a closing that stands where hardly any text or sentence ends
+    led = F.coalesce("lead3.e", "lead2.e")
+    led_to_end = F.coalesce((led >= LEAD_END) & (F.col("r3.n") >= F.col("lead2.n") * IN_PLACE), F.lit(False))
+    led_away = x.filter(~F.col("hard") & (F.col("dots") | ~F.col("closed"))).groupBy("k1").agg(F.count(F.lit(1)).alias("closings"), F.count(F.when(led < LEAD_END, 1)).alias("led"))
+    led_away = led_away.filter((F.col("led") >= LED_TEXTS) & (F.col("led") >= F.col("closings") * LED_SHARE)).select("k1", F.lit(True).alias("astray"))
+
+    # a closing word that hardly ever goes on after the words before it, while a longer word of this beginning does
     open_end = x.filter(~F.col("hard") & (F.col("word") != "") & (F.col("dots") | ~F.col("closed")))
     asked = open_end.select("before", "word").unionByName(open_end.select(F.col("before1").alias("before"), "word")).filter("before <> 0").distinct()
     follow = every.select("tokens", "low").mapInArrow(_follow, "before bigint, next string, n bigint, last bigint").join(asked.select("before").distinct(), "before", "left_semi").groupBy("before", "next").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
@@ -397,9 +429,10 @@ def judge(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     fragments = cut(
         asked.join(follow, "before").filter(F.col("next").startswith(F.col("word"))).groupBy("before", "word")
         .agg(F.sum(F.when(same, F.col("last")).otherwise(0)).alias("ends"), F.sum(F.when(same, F.col("n") - F.col("last")).otherwise(0)).alias("inside"), F.sum(F.when(~same, F.col("n")).otherwise(0)).alias("longer"))
-        .filter((F.col("inside") == 0) & (F.col("longer") >= 1) & (F.col("longer") >= F.col("ends"))).select("before", "word")
+        .filter((F.col("inside") <= F.col("longer") * FRAGMENT_INSIDE) & (F.col("longer") >= 1) & (F.col("longer") >= F.col("ends"))).select("before", "word")
     )
     copies = cut_copies(every).withColumn("copy", F.lit(True))
+    x = x.join(led_away, "k1", "left")
     x = x.join(fragments.withColumn("frag2", F.lit(True)), ["before", "word"], "left").join(copies, "id", "left")
     x = x.join(fragments.select(F.col("before").alias("before1"), "word", F.lit(True).alias("frag1")), ["before1", "word"], "left")
     is_fragment = F.col("frag2").isNotNull() | F.col("frag1").isNotNull()
@@ -414,6 +447,7 @@ def judge(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         .when(F.col("closed") & ~F.col("dots"), F.when(F.col("lone") | F.coalesce(broken_number, F.lit(False)), "cut: dot").otherwise("closed"))
         .when(is_fragment, "cut: word")
         .when(F.coalesce(never_last, F.lit(False)), "cut: sentence")
+        .when(F.col("astray").isNotNull() & ~led_to_end, "cut: sentence")
         .when(F.col("dots"), F.when((sentence["f"] >= HABIT) | (sentence["e"] >= HABIT), "dots").otherwise("cut: dots"))
         .when(F.col("lenient"), F.when(lenient_ok, "bare").otherwise("cut: sentence"))
         .otherwise(F.when(strict["e"] >= HABIT, "habit").otherwise("cut: sentence"))

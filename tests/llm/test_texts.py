@@ -97,6 +97,24 @@ def test_truncation(spark):
     assert tr.truncated(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_cuts_that_repeat_are_no_habit(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [a + b for a in ("bar", "len", "mok", "sil", "tor") for b in ("dan", "fel", "gim", "nus", "pry", "vot")]
+    begin = lambda: " ".join(["Then", *rng.choice(vocabulary, 30)]) + ". "  # noqa: E731  no copies
+    rows = [(i, begin() + docs) for i, docs in enumerate(corpus())]
+    cut, words = {}, SENTENCES[0].split(" ")
+    for i in range(40):  # a few spots, each of them often
+        cut[1000 + i] = begin() + [" ".join(words[: 2 + i % 5]) + " because", SENTENCES[1][:26] + ["", "", "", " (more)", "… Read more"][i // 2 % 5]][i % 2]
+    df = spark.createDataFrame([(i, t, "tale") for i, t in [*rows, *cut.items()]], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in tr.truncated(df, "doc_id", "text", "source").collect()} == set(cut)
+
+
+def test_marks_are_no_words():
+    for mark in ("", "...", " (more)", "… Read more", "[...]", "&#82"):
+        assert tr.read("A hidden led" + mark)[0] == ["a", "hidden", "led"]
+    assert tr.read("Read more")[0] == ["read", "more"]
+
+
 def test_copies_that_go_on(spark):
     long = " ".join(SENTENCES[:3])
     texts = [(1, long), (2, long[:-20]), (3, SENTENCES[0] + " " + SENTENCES[1]), (4, "short"), (5, long.upper())]
