@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -278,7 +278,7 @@ def _goings_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tails(asked: bool):  # noqa: ANN202
     """Rows (id, low, tokens) -> the shingles that end 0, 3 or 6 words (TAILS) before a word, with that word's first letter:
-    of the last word (id, last, tail), or of every word from TAIL_FROM of the text on (copy, at, tail, next, after)."""
+    of the last word (id, last, tail), or of every word from TAIL_FROM of the text on, with the hash of the beginning before it (copy, at, begin, tail, next, after)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,7 +291,7 @@ def _tails(asked: bool):  # noqa: ANN202
                 letter = pc.utf8_slice_codeunits(words, 0, 1).dictionary_encode()
                 letter = np.array([_h(c) for c in letter.dictionary.to_pylist()], np.int64)[letter.indices.to_numpy(zero_copy_only=False)]
                 row, size, end = np.repeat(np.arange(len(n)), n), np.repeat(n, n), np.repeat(np.cumsum(n) - 1, n)
-                at = np.arange(len(low))
+                at, begin = np.arange(len(low)), _beginnings(low, start)
                 wanted = at == end if asked else (at - start >= np.floor(size * TAIL_FROM) - 1) & (at < end)
                 for back in TAILS:
                     j = np.flatnonzero(wanted & (at - start >= SHINGLE + back))
@@ -302,11 +302,16 @@ def _tails(asked: bool):  # noqa: ANN202
                     if asked:
                         yield pa.RecordBatch.from_arrays([ids, words.take(pa.array(j)), tail], ["id", "last", "tail"])
                     else:
-                        yield pa.RecordBatch.from_arrays([ids, pa.array((j - start[j]).astype(np.int32)), tail, *_next_words(words, j, end[j])], ["copy", "at", "tail", "next", "after"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array((j - start[j]).astype(np.int32)), pa.array(begin[j - 1]), tail, *_next_words(words, j, end[j])], ["copy", "at", "begin", "tail", "next", "after"])
 
     return run
 
 
+def most_edits(size: Column) -> Column:
+    """How many words may be put in or left out in a text of `size` words."""
+    return F.greatest(F.lit(2), (size * (2 * EDITED)).cast("int"))
+
+
 def edits(a: list[str], b: list[str], most: int) -> int:
     """Words put in or left out between two texts (a changed word is both), by Myers' greedy alignment; most + 1 if there are more than `most`."""
     n, m, far = len(a), len(b), {1: 0}
@@ -349,8 +354,8 @@ def cut_copies(x: DataFrame) -> DataFrame:
     up by hash among the beginnings of the texts with the same first shingle, which are taken at
     the lengths asked for only and reduced to their distinct continuations, so that no pairs of
     texts are formed. Edited beginnings: texts that share a min-hash band and a shingle near the
-    cut; each bucket has one longer copy, of the least id, for a shingle and continuation, which is
-    aligned from the start.
+    cut; all longer copies of a bucket with that shingle are aligned from the start, equal beginnings
+    once, unless their length alone asks for too many edits.
     """
     open_ = ~F.col("closed") | F.col("dots")
     long_enough = x.filter(F.col("n") > SHINGLE)
@@ -369,11 +374,13 @@ def cut_copies(x: DataFrame) -> DataFrame:
     y = long_enough.select("id", "low", "tokens", "n", open_.alias("open")).join(near, "id")
     words = y.select("id", "low", "tokens")
     asked = y.filter("open").join(exact, "id", "left_anti").select("id", "low", "tokens").mapInArrow(_tails(True), "id binary, last string, tail bigint").join(near, "id")
-    asked = cut(asked)
-    holds = words.mapInArrow(_tails(False), "copy binary, at int, tail bigint, next string, after string")
-    holds = holds.join(asked.select("tail").distinct(), "tail", "left_semi").join(near.withColumnRenamed("id", "copy"), "copy").select("copy", "at", "tail", "next", "after", F.explode("near").alias("bucket"))
-    holds = holds.groupBy("bucket", "tail", "next", "after").agg(F.min(F.struct("copy", "at")).alias("c"))
-    pairs = asked.select("id", "last", "tail", F.explode("near").alias("bucket")).join(holds, ["bucket", "tail"]).filter(goes_on).select("id", "c.copy", "c.at").filter("id <> copy").distinct()
+    asked = cut(asked.join(x.select("id", (F.col("n") - 1).alias("size")), "id"))
+    holds = words.mapInArrow(_tails(False), "copy binary, at int, begin bigint, tail bigint, next string, after string")
+    holds = holds.join(asked.select("tail").distinct(), "tail", "left_semi").join(near.withColumnRenamed("id", "copy"), "copy").withColumn("bucket", F.explode("near"))
+    # of the copies that begin alike any will do, but not the asking text itself
+    holds = holds.groupBy("bucket", "tail", "next", "after", "at", "begin").agg(F.min("copy").alias("copy"), F.max("copy").alias("other"))
+    pairs = asked.select("id", "last", "size", "tail", F.explode("near").alias("bucket")).join(holds, ["bucket", "tail"]).filter(goes_on & (F.abs(F.col("size") - F.col("at")) <= most_edits(F.col("size"))))
+    pairs = pairs.withColumn("copy", F.when(F.col("copy") == F.col("id"), F.col("other")).otherwise(F.col("copy"))).filter("id <> copy").groupBy("id", "at", "begin").agg(F.min("copy").alias("copy")).drop("begin")
     low = x.select("id", "n", "low")
     pairs = pairs.join(low.select("id", F.slice("low", 1, F.col("n") - 1).alias("body")), "id").join(low.select(F.col("id").alias("copy"), "low"), "copy")
     edited = pairs.select("id", "body", F.slice("low", 1, F.col("at")).alias("begin")).mapInArrow(_aligned, "id binary")

@@ -147,6 +147,16 @@ def test_edited_copies_that_go_on(spark):
     assert cut_ids(spark, rows) == {1, 2, 3, 4}
 
 
+def test_every_copy_of_a_bucket_is_aligned(spark):
+    rng = np.random.default_rng(7)
+    body = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(100)]
+    end = ["and", "then", "the", "bridge", "collapsed", "without", "any", "warning."]
+    asked = (500, " ".join(["changed", *body[1:], *end[:4], "coll"]))  # no exact beginning
+    turned = [(100 + k + m, " ".join(body[k:m] + body[:k] + body[m:] + end)) for k in (20, 30, 40, 50) for m in (78, 84, 91, 97)]  # nearly the same shingles, ids less than the copy's
+    assert 500 in cut_ids(spark, [asked, *turned, (900, " ".join(body + end))])
+    assert 500 not in cut_ids(spark, [asked, *turned])
+
+
 def test_edits():
     assert tr.edits(list("abcdef"), list("abcdef"), 0) == 0 and tr.edits(list("abcdef"), list("abxdef"), 4) == 2
     assert tr.edits(list("abcdef"), list("bcdefg"), 4) == 2 and tr.edits(list("abc"), list("xyz"), 3) == 4
