@@ -7,9 +7,11 @@ for each block of the other. A right side of at most `SMALL_ROWS` rows is one bl
 the pairs kept are recomputed by differences in double, so they agree with the scalar functions.
 
 A join within an L2 distance is pruned first: vectors are banded by their norm, and two of them can
-only meet where the norms differ by no more than tau, so blocks of far bands never meet. Vectors
-that are null, of another length than `dim` (that of most right rows, if not given) or hold null,
-NaN or infinity are in no pair.
+only meet where the norms differ by no more than tau, so blocks of far bands never meet. Long vectors
+do not travel with each block at all where a short code of each (see `sketches`) tells nearly all pairs
+apart: blocks of codes meet, each distinct vector once, and the whole vectors are only joined to the
+pairs whose codes are near. Vectors that are null, of another length than `dim` (that of most right
+rows, if not given) or hold null, NaN or infinity are in no pair.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut
+from . import sketches
 
 BLOCK_ROWS, SMALL_ROWS = 4096, 4096
 #: Bands of norms, at most.
 MOST_BANDS = 1000
+#: Rows of each side from which a sketch is fitted, the most codes in a block, and the blocks a side has below that.
+SAMPLE_ROWS, SKETCH_ROWS, SKETCH_BLOCKS = 1500, 131072, 8
 
 METRICS = ("l2", "cos", "ip")
 
@@ -94,15 +100,17 @@ def usual_dim(df: DataFrame, vec: str) -> int:
     return r["d"] if r else 0
 
 
+def _sized(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
+
+
 def _usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
-    v = F.col(vec)
-    broken = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim) & ~broken)
+    return _sized(df, key, vec, dim).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
-def _spread(x: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+def _spread(x: DataFrame, own: str, blocks: int, other: str, others: int, key: str = "id") -> DataFrame:
     """Each row to its own block, and that to every block of the other side."""
-    return x.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
+    return x.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
 
 
 def _band_plan(lx: DataFrame, rx: DataFrame, tau: float) -> tuple[float, dict[int, int], dict[int, int]] | None:
@@ -133,6 +141,27 @@ def _spread_bands(x: DataFrame, left: bool, width: float, lefts: dict[int, int],
     return x.select("id", "v", F.struct(F.col(lband).alias("a"), F.col(lb).alias("b")).alias("lb"), F.struct(F.col(rband).alias("a"), F.col(rb).alias("b")).alias("rb"))
 
 
+def _fit(left: DataFrame, right: DataFrame, ln: int, rn: int, dim: int, tau: float) -> sketches.Sketch | None:
+    if dim < 4 * min(sketches.WIDTHS):
+        return None
+    sample = lambda x, n: _matrix(x.select("v").sample(fraction=min(1.0, SAMPLE_ROWS / n), seed=7).toArrow()["v"], dim)
+    return sketches.fit(sample(left, ln), sample(right, rn), tau)
+
+
+def _by_sketch(left: DataFrame, right: DataFrame, ln: int, rn: int, sketch: sketches.Sketch, dim: int, tau: float, inclusive: bool) -> DataFrame:
+    """(l_id, r_id, dis) of the rows (id, v) within tau: distinct vectors meet by their codes, are measured, and rows join them by key."""
+    rows = min(SKETCH_ROWS, max(BLOCK_ROWS, -(-max(ln, rn) // SKETCH_BLOCKS)))
+    lb, rb = -(-ln // rows), -(-rn // rows)
+    lk, rk = (cut(x.mapInArrow(sketches.sketched(sketch, dim), "id bigint, key binary, code binary")) for x in (left, right))
+    lc, rc = (x.select("key", "code").dropDuplicates(["key"]) for x in (lk, rk))
+    lc, rc = _spread(lc, "lb", lb, "rb", rb, "key"), _spread(rc, "rb", rb, "lb", lb, "key")
+    found = lc.groupBy("lb", "rb").cogroup(rc.groupBy("lb", "rb")).applyInArrow(sketches.candidates(sketch.bound, sketch.basis.shape[1] + 1), "lk binary, rk binary")
+    lv, rv = (x.mapInArrow(sketches.packed(dim), "key binary, v binary").dropDuplicates(["key"]).select(F.col("key").alias(f"{s}k"), F.col("v").alias(f"{s}v")) for x, s in ((left, "l"), (right, "r")))
+    near = found.join(lv, "lk").join(rv, "rk").select("lk", "rk", "lv", "rv").mapInArrow(sketches.measured(_distances, dim, tau, inclusive), "lk binary, rk binary, dis double")
+    li, ri = (x.select(F.col("key").alias(f"{s}k"), F.col("id").alias(f"{s}_id")) for x, s in ((lk, "l"), (rk, "r")))
+    return near.join(li, "lk").join(ri, "rk").select("l_id", "r_id", "dis")
+
+
 def pairs(left: DataFrame, left_key: str, left_vec: str, right: DataFrame, right_key: str, right_vec: str, tau: float | None, metric: str = "l2", k: int | None = None, inclusive: bool = True, self_join: bool = False, dim: int | None = None) -> DataFrame:
     """(l_id, r_id, dis): pairs within `tau`; with `k` only the k nearest right rows of each left row, ties by id.
 
@@ -147,13 +176,21 @@ def pairs(left: DataFrame, left_key: str, left_vec: str, right: DataFrame, right
     dim = usual_dim(right, right_vec) if dim is None else dim
     lx, rx = _usable(left, left_key, left_vec, dim), _usable(right, right_key, right_vec, dim)
     ln, rn = left.count(), right.count()
-    plan = _band_plan(lx, rx, tau) if metric == "l2" and tau is not None and max(ln, rn) > SMALL_ROWS else None
-    if plan:
-        lx, rx = _spread_bands(lx, True, *plan), _spread_bands(rx, False, *plan)
+    within = metric == "l2" and tau is not None
+    ls, rs = _sized(left, left_key, left_vec, dim), _sized(right, right_key, right_vec, dim)
+    sketch = _fit(ls, rs, ln, rn, dim, tau) if within and tau >= 0 and min(ln, rn) > SMALL_ROWS else None
+    plan = _band_plan(lx, rx, tau) if within and not sketch and max(ln, rn) > SMALL_ROWS else None
+    if sketch:
+        found = _by_sketch(ls, rs, ln, rn, sketch, dim, tau, inclusive)
+        if self_join:
+            found = found.filter("l_id <> r_id" if k else "l_id < r_id")
     else:
-        lb, rb = (1 if n <= SMALL_ROWS else -(-n // BLOCK_ROWS) for n in (ln, rn))
-        lx, rx = _spread(lx, "lb", lb, "rb", rb), _spread(rx, "rb", rb, "lb", lb)
-    found = lx.groupBy("lb", "rb").cogroup(rx.groupBy("lb", "rb")).applyInArrow(_join(dim, metric, tau, k, inclusive, self_join), "l_id bigint, r_id bigint, dis double")
+        if plan:
+            lx, rx = _spread_bands(lx, True, *plan), _spread_bands(rx, False, *plan)
+        else:
+            lb, rb = (1 if n <= SMALL_ROWS else -(-n // BLOCK_ROWS) for n in (ln, rn))
+            lx, rx = _spread(lx, "lb", lb, "rb", rb), _spread(rx, "rb", rb, "lb", lb)
+        found = lx.groupBy("lb", "rb").cogroup(rx.groupBy("lb", "rb")).applyInArrow(_join(dim, metric, tau, k, inclusive, self_join), "l_id bigint, r_id bigint, dis double")
     if k is None:
         return found
     w = Window.partitionBy("l_id").orderBy("dis", "r_id")
